@@ -544,8 +544,8 @@ def graduated_classes(spark, sf):
     with_views(
         """SELECT round(min(x) - 1000, 3) AS xmin, round(min(y) - 1000, 3) AS ymin, round(max(x) + 1000, 3) AS xmax,
   round(max(y) + 1000, 3) AS ymax FROM (SELECT 6378137*radians(longitude) AS x,
-    6378137*ln(tan(pi()/4 + radians(latitude)/2)) AS y FROM checklists )""",
-        "checklists",
+    6378137*ln(tan(pi()/4 + radians(latitude)/2)) AS y FROM sightings )""",
+        "sightings",
     ),
 )
 def bbox(spark, sf):
@@ -714,4 +714,4 @@ def nest_group(spark, sf):
 )
 def pivot_fixed(spark, sf):
     names = ["Observed", "Possible", "Probable", "Confirmed"]
-    return reshape.pivot_fixed(_effort(spark, sf), ["pba3_block"], "breeding_category_desc", names, F.count("*"))
+    return reshape.pivot_fixed(_effort(spark, sf), ["pba3_block"], "breeding_category_desc", names, F.count(F.lit(1)))

@@ -35,7 +35,10 @@ VIEWS["centers"] = """
 SELECT pba3_block, (min(cut) + max(cut)) / 2 AS longitude, any_value(line) AS latitude FROM (
   SELECT a.pba3_block, line, a.x + (b.x - a.x) * (line - a.y) / (b.y - a.y) AS cut
   FROM hull_points a JOIN hull_points b ON a.pba3_block = b.pba3_block JOIN hull_lines l ON l.pba3_block = a.pba3_block
-  WHERE a.y <= line AND b.y > line) GROUP BY 1"""
+  WHERE a.y <= line AND b.y > line AND a.pba3_block IN
+    (SELECT pba3_block FROM hull_vertices GROUP BY 1 HAVING count(*) > 2)) GROUP BY 1
+UNION ALL SELECT pba3_block, avg(x), avg(y) FROM hull_points WHERE pba3_block NOT IN
+  (SELECT pba3_block FROM hull_vertices GROUP BY 1 HAVING count(*) > 2) GROUP BY 1"""
 VIEWS["block_map"] = """
 SELECT * FROM (SELECT CASE WHEN pba3_block = 'B03' THEN 5 ELSE pba2_block END AS pba2_block, pba3_block
   FROM polygons LEFT JOIN centers ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1)
@@ -84,8 +87,9 @@ def daylight_query(spark, sf):
 @query(
     "geo_point",
     with_views(
-        """SELECT round(longitude, 6) AS x, round(latitude, 6) AS y, 4326 AS srid, count(*) AS n FROM checklists GROUP BY 1, 2""",
-        "checklists",
+        """SELECT round(longitude, 6) AS x, round(latitude, 6) AS y, 4326 AS srid, count(DISTINCT checklist_id) AS n FROM sightings 
+GROUP BY 1, 2""",
+        "sightings",
     ),
 )
 def geo_point(spark, sf):
@@ -98,8 +102,8 @@ def geo_point(spark, sf):
     "geo_mercator",
     with_views(
         """SELECT DISTINCT round(longitude, 6) AS longitude, round(latitude, 6) AS latitude,
-  round(6378137*radians(longitude), 3) AS x_m, round(6378137*ln(tan(pi()/4 + radians(latitude)/2)), 3) AS y_m FROM checklists """,
-        "checklists",
+  round(6378137*radians(longitude), 3) AS x_m, round(6378137*ln(tan(pi()/4 + radians(latitude)/2)), 3) AS y_m FROM sightings """,
+        "sightings",
     ),
 )
 def geo_mercator(spark, sf):

@@ -170,7 +170,7 @@ def calendar_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _lines(spark, sf_dir).withColumn("day", F.to_date("o_orderdate"))
     quarter = F.least(F.lit(4), F.floor((F.dayofmonth("day") - 1) / 8) + 1)
     df = df.withColumn("week", _text(F.date_format("day", "MMM"), " ", quarter.cast("string")))
-    codes = pivot_fixed(df, ["common_name"], "week", WEEKS, F.count("*"))
+    codes = pivot_fixed(df, ["common_name"], "week", WEEKS, F.count(F.lit(1)))
     letters = F.array(*[F.lit(c) for c in ("", "B", "E", "M", "N")])
     dates = df.groupBy("common_name").agg(
         F.min("l_partkey").alias("taxonomic_order"),

@@ -15,8 +15,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, skip: int = 0) -> DataFrame:
     """CSV with a header, or without one and with the first ``skip`` lines of each file left out.
 
-    The lines to leave out are looked at once (``skip`` lines, on the driver)
-    and filtered by their text, so files stay splittable.
+    The lines to leave out are looked at once (``skip`` lines of one file, on
+    the driver) and filtered by their text, so files stay splittable.
     """
     if header or not skip:
         return spark.read.schema(schema).option("header", header).csv(path)
