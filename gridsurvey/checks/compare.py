@@ -32,8 +32,8 @@ FROM (SELECT pba3_block, count(*) FILTER (o > 0) AS a, count(*) FILTER (o > 1) A
   FROM (SELECT pba3_block, pba2_breeding_rank_max AS o, pba3_breeding_rank_max AS n FROM pairs ) GROUP BY 1)"""
 
 
-def comparison_frame(spark, sf):
-    old, new = ranks(spark, sf)
+def comparison_frame(spark, sf, x=None):
+    old, new = ranks(spark, sf, x)
     return compare.compare_species(old, new, fx.blocks(spark, sf))
 
 
@@ -107,9 +107,10 @@ def with_mart(body: str) -> str:
 
 
 def mart_frame(spark, sf):
-    comparison = compare.compare_blocks(comparison_frame(spark, sf))
-    mart = season.block_mart(summary_frame(spark, sf), mapped_blocks(spark, sf), comparison, fx.blocks(spark, sf))
-    return mart, comparison
+    x = fx.processed_sightings(spark, sf)
+    comparison = compare.compare_blocks(comparison_frame(spark, sf, x))
+    summary, mapped = summary_frame(spark, sf, x), mapped_blocks(spark, sf, x)
+    return season.block_mart(summary, mapped, comparison, fx.blocks(spark, sf)), comparison
 
 
 @query(
@@ -121,7 +122,8 @@ LEFT JOIN summary s ON m.pba3_block IS NOT DISTINCT FROM s.pba3_block""",
     ),
 )
 def join_geo_many(spark, sf):
-    df = joins.null_safe_join(mapped_blocks(spark, sf), summary_frame(spark, sf), ["pba3_block"], "left")
+    x = fx.processed_sightings(spark, sf)
+    df = joins.null_safe_join(mapped_blocks(spark, sf, x), summary_frame(spark, sf, x), ["pba3_block"], "left")
     return df.select("pba2_block", "pba3_block", "season", "checklist_count")
 
 
@@ -134,8 +136,9 @@ LEFT JOIN block_comparison c ON c.season = s.season AND c.pba3_block IS NOT DIST
     ),
 )
 def join_block_season(spark, sf):
-    comparison = compare.compare_blocks(comparison_frame(spark, sf))
-    df = joins.null_safe_join(summary_frame(spark, sf), comparison, ["pba3_block", "season"], "left")
+    x = fx.processed_sightings(spark, sf)
+    comparison = compare.compare_blocks(comparison_frame(spark, sf, x))
+    df = joins.null_safe_join(summary_frame(spark, sf, x), comparison, ["pba3_block", "season"], "left")
     return df.select("season", "pba3_block", "species_observed", "species_count_pba2", "species_count_pba3")
 
 

@@ -322,8 +322,9 @@ def with_summary(body: str, *views: str) -> str:
     return head + ",\n" + _season_sql().strip() + "\n" + body.strip()
 
 
-def summary_frame(spark, sf):
-    return season.summarize_all_seasons(fx.sightings(spark, sf), fx.nocturnal_species(spark, sf))
+def summary_frame(spark, sf, x=None):
+    x = fx.processed_sightings(spark, sf) if x is None else x
+    return season.summarize_all_seasons(x, fx.nocturnal_species(spark, sf))
 
 
 SUMMARY_ROUNDED = ["duration_hours_total", "effort_distance_km", *HOURS]
@@ -331,7 +332,7 @@ SUMMARY_ROUNDED = ["duration_hours_total", "effort_distance_km", *HOURS]
 
 @query("summarize_season", with_summary("SELECT * EXCLUDE (season) FROM summary WHERE season = 'Breeding'"))
 def summarize_season(spark, sf):
-    df = season.summarize_season(fx.sightings(spark, sf), "Breeding", fx.nocturnal_species(spark, sf))
+    df = season.summarize_season(fx.processed_sightings(spark, sf), "Breeding", fx.nocturnal_species(spark, sf))
     df = df.withColumn("dates", F.array_size("effort_breakdown").cast("bigint")).drop("effort_breakdown")
     return rounded(df, *SUMMARY_ROUNDED)
 
@@ -359,14 +360,8 @@ def summarize_all_seasons(spark, sf):
     ),
 )
 def summarize_effort(spark, sf):
-    df = season.summarize_season(
-        _effort_named(spark, sf).filter("pba3_block = 'B03'"), "Breeding", fx.nocturnal_species(spark, sf)
-    )
-    return metrics.summarize_effort(df)
-
-
-def _effort_named(spark, sf):
-    return fx.sightings(spark, sf)
+    one = fx.sightings(spark, sf).filter("pba3_block = 'B03'")
+    return metrics.summarize_effort(season.summarize_season(one, "Breeding", fx.nocturnal_species(spark, sf)))
 
 
 @query(
@@ -399,7 +394,7 @@ def with_expected(body: str) -> str:
 
 
 def expected_frame(spark, sf):
-    return expected.species_observed_pct(fx.sightings(spark, sf))
+    return expected.species_observed_pct(fx.processed_sightings(spark, sf))
 
 
 @query(
@@ -432,7 +427,7 @@ FROM expected WHERE common_name = 'blue gear' AND observation_month = 'Jun'"""
     ),
 )
 def weighted_presence(spark, sf):
-    x = fx.sightings(spark, sf)
+    x = fx.processed_sightings(spark, sf)
     mapped = joins.in_season(x, "Breeding").select("pba3_block").distinct()
     df = expected.weighted_presence(expected.species_observed_pct(x), mapped, "blue gear", "Jun")
     return rounded(df, "observed_pct", "observed_pct_weighted")

@@ -46,8 +46,8 @@ WHERE NOT (pba2_block = 5 AND pba3_block IS NULL)"""
 MAP_VIEWS = ["block_map"]
 
 
-def mapped_blocks(spark, sf):
-    centers = spatial.hull_centers(fx.sightings(spark, sf, species=False))
+def mapped_blocks(spark, sf, x=None):
+    centers = spatial.hull_centers(fx.sightings(spark, sf, species=False) if x is None else x)
     return spatial.block_map(fx.polygons(spark, sf), centers, CELL, OVERRIDES).select("pba2_block", "pba3_block")
 
 

@@ -9,13 +9,12 @@ value is offered as well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import utc_to_local
 from ..lookups import MINUTES_AFTER_SUNSET, MINUTES_BEFORE_SUNRISE, SURVEY_TZ
 
-ZENITH = 90.833  # degrees; centre of the sun at sunrise, with refraction
+COS_ZENITH = -0.014538080502496963  # cosine of 90.833 degrees: centre of the sun at sunrise, with refraction
 
 
 def daylight_keys(df: DataFrame) -> DataFrame:
@@ -23,81 +22,88 @@ def daylight_keys(df: DataFrame) -> DataFrame:
     return df.select("observation_datetime", "longitude", "latitude").distinct()
 
 
-def _sin(c: Column) -> Column:
-    return F.sin(F.radians(c))
+RAD = "0.017453292519943295D"  # degrees to radians
+DEG4 = "229.1831180523293D"  # radians to minutes: four per degree
 
 
-def _cos(c: Column) -> Column:
-    return F.cos(F.radians(c))
+def _with_sun(df: DataFrame, fraction: str) -> DataFrame:
+    """Add half the day's length and the equation of time, both in minutes, for the sun at a fraction of the UTC day.
 
-
-def _julian_day(day: Column) -> Column:
-    """Julian date at 0h UTC, counted from the civil date 2000-01-01 = 2451544.5."""
-    return F.date_diff(day, F.lit("2000-01-01").cast("date")) + F.lit(2451544.5)
-
-
-def _event_minutes(df: DataFrame, at: str, side: int, out: str) -> DataFrame:
-    """Add the UTC minutes of sunrise (side=1) or sunset (side=-1), with the sun placed at minute ``at``."""
-    t = F.col("__t")
-    df = df.withColumn("__t", (F.col("__jd") + F.col(at) / 1440.0 - 2451545.0) / 36525.0)
-    df = df.withColumns(
-        {
-            "__L": F.pmod(280.46646 + t * (36000.76983 + 0.0003032 * t), F.lit(360.0)),
-            "__M": 357.52911 + t * (35999.05029 - 0.0001537 * t),
-            "__e": 0.016708634 - t * (0.000042037 + 0.0000001267 * t),
-            "__om": 125.04 - 1934.136 * t,
-            "__eps0": 23.0 + (26.0 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60.0) / 60.0,
-        }
+    Staged so that every intermediate value is computed once. Multiple angles
+    come from sine and cosine of the single angle, and all inputs are free of
+    nulls, which keeps the generated code short.
+    """
+    df = df.selectExpr("*", f"(__day - 0.5D + {fraction}) * {1 / 36525!r}D AS __t")
+    df = df.selectExpr(
+        "*",
+        f"(280.46646D + __t * (36000.76983D + 0.0003032D * __t)) * {RAD} AS __L",
+        f"(357.52911D + __t * (35999.05029D - 0.0001537D * __t)) * {RAD} AS __M",
+        "0.016708634D - __t * (0.000042037D + 0.0000001267D * __t) AS __e",
+        f"(125.04D - 1934.136D * __t) * {RAD} AS __om",
     )
-    m, om = F.col("__M"), F.col("__om")
-    center = (
-        _sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t))
-        + _sin(2 * m) * (0.019993 - 0.000101 * t)
-        + _sin(3 * m) * 0.000289
+    df = df.selectExpr(
+        "*", "sin(__M) AS __sM", "cos(__M) AS __cM", "sin(2D * __L) AS __s2L", "cos(2D * __L) AS __c2L"
     )
-    df = df.withColumns(
-        {
-            "__lam": F.col("__L") + center - 0.00569 - 0.00478 * _sin(om),
-            "__eps": F.col("__eps0") + 0.00256 * _cos(om),
-        }
+    df = df.selectExpr(
+        "*",
+        f"""__L + {RAD} * (__sM * (1.914602D - __t * (0.004817D + 0.000014D * __t))
+            + 2D * __sM * __cM * (0.019993D - 0.000101D * __t)
+            + (3D - 4D * __sM * __sM) * __sM * 0.000289D - 0.00569D - 0.00478D * sin(__om)) AS __lam""",
+        f"""{RAD} * (23D + (26D + (21.448D - __t * (46.815D + __t * (0.00059D - __t * 0.001813D))) * {1 / 60!r}D)
+            * {1 / 60!r}D + 0.00256D * cos(__om)) AS __eps""",
     )
-    half = F.tan(F.radians(F.col("__eps") / 2.0))
-    df = df.withColumns({"__dec": F.asin(_sin(F.col("__eps")) * _sin(F.col("__lam"))), "__y": half * half})
-    L, e, y = F.col("__L"), F.col("__e"), F.col("__y")
-    equation = 4.0 * F.degrees(
-        y * _sin(2 * L)
-        - 2.0 * e * _sin(m)
-        + 4.0 * e * y * _sin(m) * _cos(2 * L)
-        - 0.5 * y * y * _sin(4 * L)
-        - 1.25 * e * e * _sin(2 * m)
+    df = df.selectExpr("*", "sin(__eps) * sin(__lam) AS __sin_dec", "tan(__eps * 0.5D) AS __tan")
+    df = df.selectExpr("*", "__tan * __tan AS __y")
+    df = df.selectExpr(
+        "*",
+        f"""(__y * __s2L - 2D * __e * __sM + 4D * __e * __y * __sM * __c2L
+            - __y * __y * __s2L * __c2L - 2.5D * __e * __e * __sM * __cM) * {DEG4} AS __eq""",
+        f"{COS_ZENITH!r}D - __sin_phi * __sin_dec AS __a",
+        "__cos_phi * __cos_phi * (1D - __sin_dec * __sin_dec) AS __bb",
     )
-    phi, dec = F.radians("latitude"), F.col("__dec")
-    cos_hour = _cos(F.lit(ZENITH)) / (F.cos(phi) * F.cos(dec)) - F.tan(phi) * F.tan(dec)
-    df = df.withColumns({"__eq": equation, "__ch": cos_hour})
-    hour = F.when(F.col("__ch").between(-1.0, 1.0), F.degrees(F.acos("__ch")))
-    return df.withColumn(out, 720.0 - 4.0 * (F.col("longitude") + side * hour) - F.col("__eq"))
+    # acos(a / b) for positive b, without a division; NaN where |a| > b
+    df = df.selectExpr("*", f"atan2(sqrt(__bb - __a * __a), __a) * {DEG4} AS __hour")
+    scratch = ["t", "L", "M", "e", "om", "sM", "cM", "s2L", "c2L", "lam", "eps", "tan", "y", "sin_dec", "a", "bb"]
+    return df.drop(*[f"__{c}" for c in scratch])
 
 
-_SCRATCH = ["__jd", "__zero", "__t", "__L", "__M", "__e", "__om", "__eps0", "__lam", "__eps", "__dec", "__y", "__eq",
-            "__ch", "__first", "__second"]
+def _event(side: int) -> str:
+    """UTC minute of sunrise (side 1) or sunset (-1); NaN where the sun does not cross the horizon."""
+    return f"(720D - __lon4 - {side}D * __hour - __eq)"
 
 
 def with_daylight(df: DataFrame, tz: str = SURVEY_TZ, start: str = "observation_datetime") -> DataFrame:
     """Add ``sunrise`` and ``sunset`` of the start's local date, as wall-clock timestamps.
 
-    The sun's place is taken at 0h UTC first and once more at the time found.
-    Null where there is no start, or no sunrise on that day at that latitude.
+    The sun's place is taken at 0h UTC first, for both events, and once more
+    at each time found. Null where there is no start, or no sunrise on that
+    day at that latitude.
+
+    Values pass from step to step in small arrays handled by ``transform``. A
+    projection with a higher-order function stands outside whole-stage
+    codegen, so each pass is generated as a method of its own, whatever runs
+    before and after. Together they would exceed the 8000 bytecodes up to
+    which the JVM compiles a method, and a row would cost several times as
+    much.
     """
     kept = df.columns
-    day = F.to_date(start)
-    df = df.withColumns({"__jd": _julian_day(day), "__zero": F.lit(0.0)})
-    for side, name in ((1, "sunrise"), (-1, "sunset")):
-        df = _event_minutes(df, "__zero", side, "__first")
-        df = _event_minutes(df, "__first", side, "__second")
-        seconds = F.round(F.col("__second") * 60.0, 6).cast("decimal(18,6)")
-        instant = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
-        df = df.withColumn(name, utc_to_local(instant, tz))
-    return df.select(*kept, "sunrise", "sunset")
+    df = df.selectExpr(
+        "*",
+        f"transform(array(longitude * 4D, latitude * {RAD}), c -> coalesce(c, 0D)) AS __place",
+        f"coalesce(CAST(datediff(CAST({start} AS DATE), DATE'2000-01-01') AS DOUBLE), 0D) AS __day",
+    )
+    df = df.selectExpr("*", "coalesce(__place[0], 0D) AS __lon4", "coalesce(__place[1], 0D) AS __phi").drop("__place")
+    df = df.selectExpr("*", "sin(__phi) AS __sin_phi", "cos(__phi) AS __cos_phi")
+    fractions = f"transform(array({_event(1)}, {_event(-1)}), m -> m * {1 / 1440!r}D) AS __at"
+    df = _with_sun(df, "0D").selectExpr("*", fractions).drop("__hour", "__eq")
+    known = f"{start} IS NOT NULL AND longitude IS NOT NULL AND latitude IS NOT NULL"
+    midnight = f"CAST(CAST({start} AS DATE) AS TIMESTAMP_NTZ)"
+    for place, name, side in ((0, "sunrise", 1), (1, "sunset", -1)):
+        micros = f"CASE WHEN {known} AND NOT isnan(__hour) THEN floor({_event(side)} * 60e6D + 0.5D) END"
+        local = f"u -> convert_timezone('UTC', '{tz}', timestampadd(MICROSECOND, u, {midnight}))"
+        df = _with_sun(df, f"coalesce(__at[{place}], 0D)")
+        df = df.selectExpr("*", f"transform(array({micros}), {local}) AS __{name}").drop("__hour", "__eq")
+    return df.selectExpr(*kept, "__sunrise[0] AS sunrise", "__sunset[0] AS sunset")
 
 
 def daylight_table(df: DataFrame, tz: str = SURVEY_TZ) -> DataFrame:
