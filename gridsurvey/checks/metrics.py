@@ -578,10 +578,9 @@ FROM (SELECT DISTINCT observation_datetime, longitude, latitude FROM sightings )
 def win_row_number(spark, sf):
     """Global index of the distinct daylight keys in start order."""
     keys = daylight.daylight_keys(_effort(spark, sf))
-    levels = keys.withColumns({"day": F.to_date("observation_datetime"), "hour": F.hour("observation_datetime")})
-    df = sampling.with_global_index(
-        levels, ["day", "hour"], ["observation_datetime", "longitude", "latitude"], "id"
-    )
+    # windows run over days, starts of a day, tenth-degree cells of a start and places of a cell
+    placed = keys.withColumns({"day": F.to_date("observation_datetime"), "cell": F.floor(F.col("longitude") * 10)})
+    df = sampling.with_global_index(placed, ["day", "observation_datetime", "cell"], ["longitude", "latitude"], "id")
     return rounded(df, "longitude", "latitude").select(
         text("observation_datetime").alias("observation_datetime"), "longitude", "latitude", "id"
     )
