@@ -79,12 +79,13 @@ def join_covering(
     fall into one cell each, and the join is an equi-join on the cell, checked
     by bounding box and exact test. A point meets a polygon in one cell only,
     so no pair repeats. A crowded cell is spread over ``salts`` tasks by the
-    point's hash against copies of the cell's polygons.
+    point's hash against copies of the cell's polygons. Polygons without a
+    point are added by an anti-join on the distinct ids found, so a polygon
+    holding many points never brings them into one task.
     """
     xs, ys = F.transform("ring", lambda p: p.x), F.transform("ring", lambda p: p.y)
     boxed = polygons.select(
-        polygon_id,
-        "ring",
+        *polygons.columns,
         F.array_min(xs).alias("x0"),
         F.array_max(xs).alias("x1"),
         F.array_min(ys).alias("y0"),
@@ -107,9 +108,10 @@ def join_covering(
         gridded.join(placed, ["cx", "cy", "salt"], "inner")
         .filter(px.between(F.col("x0"), F.col("x1")) & py.between(F.col("y0"), F.col("y1")))
         .filter(covers(F.col("ring"), px, py))
-        .select(polygon_id, *points.columns)
+        .select(*polygons.columns, *points.columns)
     )
-    return polygons.join(pairs, polygon_id, "left")
+    unmatched = polygons.join(pairs.select(polygon_id).distinct(), polygon_id, "left_anti")
+    return pairs.unionByName(unmatched, allowMissingColumns=True)
 
 
 def _cross(o, a, b) -> float:
