@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import byte_bpe, exact_dedup
 from .common import read
 from .registry import QUERIES, SQL, query
 
@@ -20,3 +22,15 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM texts WINDOW same AS (PARTITION BY t)""")
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(
+        read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, offsets=False)
+    # The ids travel with the document through the decoder, under its id.
+    tagged = ids.select(F.struct("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                                 F.sha2("ids", 256).alias("ids_sha256")).alias("doc"), "ids")
+    return byte_bpe.decode(tagged, ranks, id_col="doc").select(
+        "doc_id.*", F.sha2("data", 256).alias("decoded_sha256"))
