@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup
-from .common import read
+from . import byte_bpe, exact_dedup, language_id
+from .common import fold, read
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -34,3 +34,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.sha2("ids", 256).alias("ids_sha256")).alias("doc"), "ids")
     return byte_bpe.decode(tagged, ranks, id_col="doc").select(
         "doc_id.*", F.sha2("data", 256).alias("decoded_sha256"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    profiles = language_id.learn_profiles(docs.filter("not held_out"))
+    found = language_id.predict_language(spark, F.col("text"), profiles)
+    return docs.select("doc_id", "held_out", found.alias("found")).select("doc_id", "held_out", "found.*")
