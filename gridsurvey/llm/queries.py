@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id
+from . import byte_bpe, exact_dedup, language_id, toxicity
 from .common import fold, read
 from .registry import QUERIES, SQL, query
 
@@ -36,6 +36,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id.*", F.sha2("data", 256).alias("decoded_sha256"))
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
+    machine = toxicity.learn_toxicity(docs, labels)
+    return toxicity.toxicity(docs, machine).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
