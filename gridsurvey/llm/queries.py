@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, ngram_join, toxicity
+from . import byte_bpe, exact_dedup, html_extract, language_id, ngram_join, toxicity
 from .common import fold, read
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op8_html_extract")
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op9_exact_dedup", sql="""
 WITH texts AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
