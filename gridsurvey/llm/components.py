@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,37 @@ def _star(pairs: DataFrame, keep, least, name: str, with_own: bool = False) -> D
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def forest(links: np.ndarray) -> np.ndarray:
+    """The smallest member that each member of a symmetric matrix of links reaches."""
+    label = np.arange(len(links))
+    while True:
+        least = np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links))
+        new = np.minimum(label, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def link_classes(rows: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, kept) for each of ``rows`` (doc_id, node).
+
+    Rows with equal nodes are copies; ``sets`` has each node's smallest id and
+    number of rows (node, first_id, weight). ``links`` holds parts of what was
+    found: (node, rows linked to it there, a node it is connected to). A null
+    node is linked with nothing.
+    """
+    classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
+    counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    of_set = sets.select("node", "first_id", "weight").join(counts, "node", "left").join(classes, "node", "left")
+    of_set = staged(of_set.select(
+        "node", "first_id", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.coalesce("component", "node").alias("component")), "linked_sets")
+    first = staged(of_set.groupBy("component").agg(F.min("first_id").alias("class_id")), "class_ids")
+    found = staged(of_set.join(first, "component").select("node", "n_links", "class_id"), "set_classes")
+    class_id = F.coalesce("class_id", "doc_id")
+    return rows.join(found, "node", "left").select(
+        "doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        class_id.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .components import connected_components
+from .components import connected_components, forest, link_classes
 from .words import Words, mixed, runs, word_table
 
 WORDS_PER_GRAM = 5
@@ -122,18 +122,6 @@ def linked(left: list, right: list | None, threshold: float) -> np.ndarray:
     return out
 
 
-def forest(links: np.ndarray) -> np.ndarray:
-    """The smallest member that each member of a symmetric matrix of links reaches."""
-    label = np.arange(len(links))
-    while True:
-        least = np.where(links, label[None, :], len(links)).min(axis=1)
-        new = np.minimum(label, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _check_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per member of a row of one or two blocks: documents linked across the row, and a member it is connected to."""
     for batch in batches:
@@ -228,17 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     checked = staged(
         _units(members).mapInArrow(lambda it: _check_blocks(it, threshold), "node binary, n_links bigint, root binary"), "links")
 
-    classes = connected_components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
-    counts = checked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    of_set = sets.select("node", "first_id", "weight").join(counts, "node", "left").join(classes, "node", "left")
-    of_set = staged(of_set.select(
-        "node", "first_id", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component")), "linked_sets")
-    first = staged(of_set.groupBy("component").agg(F.min("first_id").alias("class_id")), "class_ids")
-    found = staged(of_set.join(first, "component").select("node", "n_links", "class_id"), "set_classes")
-    return signed.select("doc_id", "node").join(found, "node", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("class_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    return link_classes(signed.select("doc_id", "node"), sets, checked)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_extract, language_id, ngram_join, toxicity
+from . import byte_bpe, embedding_join, exact_dedup, html_extract, language_id, ngram_join, toxicity
 from .common import fold, read
 from .registry import QUERIES, SQL, query
 
@@ -30,6 +30,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op4_embedding_join")
+def op4_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op5_ngram_join")
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
