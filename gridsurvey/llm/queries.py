@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_join, exact_dedup, html_extract, language_id, ngram_join, toxicity
+from . import (
+    byte_bpe,
+    embedding_join,
+    exact_dedup,
+    html_extract,
+    language_id,
+    line_dedup,
+    ngram_join,
+    packing,
+    toxicity,
+)
 from .common import fold, read
 from .registry import QUERIES, SQL, query
 
@@ -40,6 +50,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +76,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query("op2_line_dedup", sql="""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
+filled AS (SELECT doc_id, pos, trim(line) AS t FROM lines WHERE trim(line) <> ''),
+windows AS (
+  SELECT doc_id, pos AS a, lead(pos, 2) OVER doc AS b, t || chr(10) || lead(t) OVER doc || chr(10) || lead(t, 2) OVER doc AS w
+  FROM filled WINDOW doc AS (PARTITION BY doc_id ORDER BY pos)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, a) AS n FROM windows WHERE b IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos, TRUE AS out FROM placed WHERE n > 1)
+SELECT doc_id, count(*) AS n_lines, count(out) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE out IS NULL), '') AS text
+FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id""")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_lines(read(spark, sf_dir, "documents"))
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
