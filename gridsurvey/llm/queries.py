@@ -15,6 +15,7 @@ from . import (
     line_dedup,
     ngram_join,
     packing,
+    quotes,
     toxicity,
 )
 from .common import fold, read
@@ -99,3 +100,45 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = language_id.learn_profiles(docs.filter("not held_out"))
     found = language_id.predict_language(spark, F.col("text"), profiles)
     return docs.select("doc_id", "held_out", found.alias("found")).select("doc_id", "held_out", "found.*")
+
+
+@query("op10_chat_format", sql=r"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line FROM (
+    SELECT conv_id, turn, string_split(translate(coalesce(text, ''), chr(1) || chr(2) || chr(13), ''), chr(10)) AS parts
+    FROM conversations)),
+levels AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+[ \t]?'), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') AS body FROM lines),
+marked AS (
+  SELECT *, lead(level, 1, 0) OVER message AS after,
+    CASE WHEN level = lag(level) OVER message AND trim(body) <> '' AND trim(lag(body) OVER message) <> '' THEN 0 ELSE 1 END AS opens
+  FROM levels WINDOW message AS (PARTITION BY conv_id, turn ORDER BY pos)),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM marked),
+paragraphs AS (
+  SELECT conv_id, turn, run, any_value(level) AS level,
+    lower(trim(regexp_replace(string_agg(body, ' ' ORDER BY pos), '\s+', ' ', 'g'))) AS words
+  FROM runs GROUP BY conv_id, turn, run HAVING words <> ''),
+linked AS (
+  SELECT q.conv_id, q.turn, q.run, q.level, max(o.turn) AS origin FROM paragraphs q LEFT JOIN paragraphs o
+    ON o.conv_id = q.conv_id AND o.words = q.words AND o.level = 0 AND o.turn < q.turn
+  WHERE q.level > 0 GROUP BY q.conv_id, q.turn, q.run, q.level),
+parents AS (
+  SELECT conv_id, turn, origin AS parent_turn FROM linked WHERE origin IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, origin DESC) = 1),
+counts AS (SELECT conv_id, turn, count(*) AS n_quotes, count(origin) AS n_linked FROM linked GROUP BY conv_id, turn),
+chains AS (
+  SELECT conv_id, turn, turn AS here, 0 AS depth FROM conversations
+  UNION ALL SELECT c.conv_id, c.turn, p.parent_turn, c.depth + 1 FROM chains c JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.here),
+roots AS (SELECT conv_id, turn, min(here) AS root_turn, max(depth) AS depth FROM chains GROUP BY conv_id, turn),
+own AS (
+  SELECT conv_id, turn, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos), ''),
+    '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$|^[ \t]+$', '', 'g') AS text
+  FROM marked WHERE level = 0 AND NOT (regexp_matches(body, '^\s*On\b.*\bwrote:\s*$') AND after > 0) GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, r.root_turn, p.parent_turn, r.depth, coalesce(c.n_quotes, 0) AS n_quotes,
+  coalesce(c.n_linked, 0) AS n_linked, coalesce(o.text, '') AS text,
+  '<|' || coalesce(m.role, 'user') || '|>' || chr(10) || coalesce(o.text, '') || chr(10) || '<|end|>' || chr(10) AS formatted
+FROM conversations m LEFT JOIN roots r USING (conv_id, turn) LEFT JOIN parents p USING (conv_id, turn)
+LEFT JOIN counts c USING (conv_id, turn) LEFT JOIN own o USING (conv_id, turn)""")
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(read(spark, sf_dir, "conversations")).drop("unlinked")
