@@ -4,8 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, connect
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from gridsurvey.checks import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +21,7 @@ def test_query_agrees_with_sql(spark, con, small, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
