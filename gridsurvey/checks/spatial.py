@@ -14,12 +14,11 @@ OVERRIDES = {"B03": 5}
 
 # Interior point of the convex hull, without building the hull: a point is a hull vertex if the
 # directions to all others leave a gap above a half turn; the cut's ends are extremes over all pairs.
+VIEWS["hull_columns"] = """
+SELECT pba3_block, longitude AS x, min(latitude) AS low, max(latitude) AS high FROM sightings 
+WHERE pba3_block IS NOT NULL GROUP BY 1, 2"""
 VIEWS["hull_points"] = """
-SELECT DISTINCT pba3_block, x, y FROM (SELECT pba3_block, longitude AS x, latitude AS y,
-  row_number() OVER (PARTITION BY pba3_block ORDER BY md5('1|' || checklist_id || '|' || longitude::VARCHAR || '|' ||
-    latitude::VARCHAR), checklist_id, longitude, latitude) AS rn
-  FROM (SELECT DISTINCT pba3_block, checklist_id, longitude, latitude FROM sightings WHERE pba3_block IS NOT NULL))
-WHERE rn <= 1000"""
+SELECT pba3_block, x, low AS y FROM hull_columns UNION SELECT pba3_block, x, high FROM hull_columns """
 VIEWS["hull_vertices"] = """
 SELECT pba3_block, x, y FROM (
   SELECT pba3_block, x, y, coalesce(lead(t) OVER w, first_value(t) OVER w + 2 * pi()) - t AS gap FROM (
@@ -37,7 +36,7 @@ SELECT pba3_block, (min(cut) + max(cut)) / 2 AS longitude, any_value(line) AS la
   FROM hull_points a JOIN hull_points b ON a.pba3_block = b.pba3_block JOIN hull_lines l ON l.pba3_block = a.pba3_block
   WHERE a.y <= line AND b.y > line AND a.pba3_block IN
     (SELECT pba3_block FROM hull_vertices GROUP BY 1 HAVING count(*) > 2)) GROUP BY 1
-UNION ALL SELECT pba3_block, avg(x), avg(y) FROM hull_points WHERE pba3_block NOT IN
+UNION ALL SELECT pba3_block, (min(x) + max(x)) / 2, (min(y) + max(y)) / 2 FROM hull_points WHERE pba3_block NOT IN
   (SELECT pba3_block FROM hull_vertices GROUP BY 1 HAVING count(*) > 2) GROUP BY 1"""
 VIEWS["block_map"] = """
 SELECT * FROM (SELECT CASE WHEN pba3_block = 'B03' THEN 5 ELSE pba2_block END AS pba2_block, pba3_block

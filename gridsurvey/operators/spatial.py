@@ -6,14 +6,12 @@ double columns.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import mercator_x, mercator_y
 from ..lookups import BLOCK_OVERRIDES
 from .metrics import BLOCK
-from .sampling import sample_per_group
 
 
 def as_point(df: DataFrame, x: str = "longitude", y: str = "latitude", srid: int = 4326) -> DataFrame:
@@ -114,55 +112,86 @@ def join_covering(
     return pairs.unionByName(unmatched, allowMissingColumns=True)
 
 
-def _cross(o, a, b) -> float:
-    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+#: Slopes closer than this count as equal, so points on an edge are no vertices.
+SAME_SLOPE = 1e-9
 
 
-def _half_hull(points: list) -> list:
-    out: list = []
-    for p in points:
-        while len(out) >= 2 and _cross(out[-2], out[-1], p) <= 1e-12:
-            out.pop()
-        out.append(p)
-    return out
+def _lower_chain(points: Column) -> Column:
+    """Lower convex chain of points sorted by x, with one point per x.
 
+    Each point goes behind the vertex it sees under the largest slope; the
+    vertices after that one lie above the new edge and fall away.
+    """
 
-def hull_interior_point(points: list[tuple[float, float]]) -> tuple[float, float]:
-    """A point inside the convex hull of the points.
+    def add(chain: Column, p: Column) -> Column:
+        slopes = F.transform(chain, lambda v: (p.y - v.y) / (p.x - v.x))
+        numbered = F.transform(slopes, lambda s, i: F.struct(s.alias("s"), (i + 1).alias("at")))
+        # The one-element array binds the largest slope, so that it is computed once a point.
+        tangent = F.transform(F.array(F.array_max(slopes)), lambda most: F.array_min(
+            F.filter(numbered, lambda c: c.s >= most - SAME_SLOPE).getField("at")))[0]
+        return F.concat(F.slice(chain, F.lit(1), tangent), F.array(p))
 
-    The middle of the hull's cut by a horizontal line; the line lies halfway
-    between the hull vertices next above and next below half height, so it
-    never runs through a vertex. Hulls without area give the mean point.
-    """
-    pts = sorted(set(points))
-    hull = _half_hull(pts)[:-1] + _half_hull(pts[::-1])[:-1] if len(pts) > 2 else pts
-    if len(hull) < 3:
-        return sum(p[0] for p in pts) / len(pts), sum(p[1] for p in pts) / len(pts)
-    ys = [p[1] for p in hull]
-    middle = (min(ys) + max(ys)) / 2
-    line = (min(v for v in ys if v > middle) + max(v for v in ys if v <= middle)) / 2
-    cuts = [
-        x1 + (x2 - x1) * (line - y1) / (y2 - y1)
-        for (x1, y1), (x2, y2) in zip(hull, hull[1:] + hull[:1], strict=True)
-        if (y1 > line) != (y2 > line)
-    ]
-    return (min(cuts) + max(cuts)) / 2, line
-
-
-def hull_centers(x: DataFrame, n: int = 1000, seed: int = 1) -> DataFrame:
+    first = F.slice(points, 1, 1)
+    return F.aggregate(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), first, add)
+
+
+def _hull_ring(columns: Column) -> Column:
+    """The hull as a ring of vertices, from (x, least y, largest y) sorted by x."""
+    low = _lower_chain(F.transform(columns, lambda c: F.struct(c.x.alias("x"), c.low.alias("y"))))
+    flipped = _lower_chain(F.transform(columns, lambda c: F.struct(c.x.alias("x"), (-c.high).alias("y"))))
+    high = F.transform(F.reverse(flipped), lambda v: F.struct(v.x.alias("x"), (-v.y).alias("y")))
+    return F.array_distinct(F.concat(low, high))
+
+
+def hull_centers(x: DataFrame, strip: float = 0.001) -> DataFrame:
     """One interior point of the checklists' convex hull per block; the missing block is dropped.
 
-    At most n sampled points per block reach Python, whatever the block holds.
-    """
-    places = x.filter(F.col(BLOCK).isNotNull()).select(BLOCK, "checklist_id", "longitude", "latitude").distinct()
-    sampled = sample_per_group(places, [BLOCK], n, ["checklist_id", "longitude", "latitude"], seed)
+    The point is the middle of the hull's cut by a horizontal line, halfway
+    between the hull vertices next above and next below half height, so that
+    it never runs through a vertex. A hull without area gives the middle
+    between its ends.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        lon, lat = hull_interior_point(list(zip(pdf["longitude"], pdf["latitude"], strict=True)))
-        return pd.DataFrame({BLOCK: [pdf[BLOCK].iloc[0]], "longitude": [lon], "latitude": [lat]})
+    Exact for any number of checklists, in built-in functions: first the least
+    and largest latitude per (block, longitude), which combine on the map side
+    and keep every vertex; then the hull of each strip of ``strip`` degrees,
+    whose points are bounded by the precision of coordinates; then the hull of
+    a block's strips, bounded by its width.
+    """
+    reduced = (
+        x.filter(F.col(BLOCK).isNotNull() & F.col("longitude").isNotNull() & F.col("latitude").isNotNull())
+        .groupBy(BLOCK, F.col("longitude").alias("x"))
+        .agg(F.min("latitude").alias("low"), F.max("latitude").alias("high"))
+    )
 
-    fields = sampled.select(BLOCK, "longitude", "latitude")
-    return fields.groupBy(BLOCK).applyInPandas(one, f"{BLOCK} string, longitude double, latitude double")
+    def rings(df: DataFrame, *keys) -> DataFrame:
+        columns = F.sort_array(F.collect_list(F.struct("x", "low", "high")))
+        return df.groupBy(BLOCK, *keys).agg(columns.alias("columns")).withColumn("ring", _hull_ring(F.col("columns")))
+
+    strips = rings(reduced, F.floor(F.col("x") / strip).alias("strip")).select(BLOCK, F.inline("ring"))
+    merged = strips.groupBy(BLOCK, "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    vertex_y = F.transform("ring", lambda v: v.y)
+    leveled = (
+        rings(merged).select(BLOCK, "ring", vertex_y.alias("ys"))
+        .withColumn("middle", (F.array_min("ys") + F.array_max("ys")) / 2)
+        .withColumn("line", (
+            F.array_min(F.filter("ys", lambda v: v > F.col("middle"))) + F.array_max(F.filter("ys", lambda v: v <= F.col("middle")))
+        ) / 2)
+    )
+    following = F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
+    edges = F.zip_with("ring", following, lambda a, b: F.struct(
+        a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")))
+    line = F.col("line")
+    crossing = F.filter(edges, lambda e: (e.y1 > line) != (e.y2 > line))
+    cuts = F.transform(crossing, lambda e: e.x1 + (e.x2 - e.x1) * (line - e.y1) / (e.y2 - e.y1))
+    ends = F.transform("ring", lambda v: v.x)
+    flat = F.size("ring") < 3
+    middle_of = lambda values: (F.array_min(values) + F.array_max(values)) / 2
+    # One row per block already; the grouping keeps later filters from being
+    # rewritten in terms of the whole hull.
+    return leveled.withColumn("cuts", cuts).groupBy(BLOCK).agg(
+        F.any_value(F.when(flat, middle_of(ends)).otherwise(middle_of(F.col("cuts")))).alias("longitude"),
+        F.any_value(F.when(flat, F.col("middle")).otherwise(line)).alias("latitude"),
+    )
 
 
 def block_map(

@@ -43,13 +43,20 @@ def in_hull(points, p):
     return max(gaps) <= math.pi + 1e-9
 
 
-def test_hull_point_lies_inside():
+def test_hull_point_lies_inside(spark):
     rng = random.Random(3)
-    for n in (1, 2, 3, 5, 40):
-        for _ in range(50):
-            points = [(rng.randint(0, 6) / 3, rng.randint(0, 6) / 3) for _ in range(n)]
-            got = spatial.hull_interior_point(points)
-            assert got == points[0] if len(set(points)) == 1 else in_hull(points, got), (points, got)
+    groups = {f"{n}/{k}": [(rng.randint(0, 6) / 3, rng.randint(0, 6) / 3) for _ in range(n)] for n in (1, 2, 3, 5, 40) for k in range(12)}
+    groups["line"] = [(i / 7, i / 7) for i in range(20)]
+    groups["upright"] = [(1.0, i / 7) for i in range(20)]
+    groups["many"] = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(3000)]
+    rows = [(g, x, y) for g, points in groups.items() for x, y in points]
+    df = spark.createDataFrame(rows, "pba3_block string, longitude double, latitude double")
+    for strip in (0.001, 0.5):
+        got = {r.pba3_block: (r.longitude, r.latitude) for r in spatial.hull_centers(df, strip).collect()}
+        assert set(got) == set(groups)
+        for g, points in groups.items():
+            assert got[g] == points[0] if len(set(points)) == 1 else in_hull(points, got[g]), (g, got[g])
+    assert got["upright"] == (1.0, 19 / 14) and abs(got["line"][0] - 19 / 14) < 1e-12
 
 
 def test_block_map_override(spark):
