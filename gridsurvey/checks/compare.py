@@ -223,17 +223,17 @@ def progress_table(spark, sf):
 @query(
     "hierarchy_map",
     with_views(
-        """SELECT block_region, block_name, min(pba3_block) AS pba3_block FROM blocks 
-WHERE pba3_block IN (SELECT pba3_block FROM sightings ) GROUP BY 1, 2""",
+        """SELECT DISTINCT block_region, block_county AS block_name, pba3_block FROM blocks 
+WHERE pba3_block IN (SELECT pba3_block FROM sightings )""",
         "blocks",
         "sightings",
     ),
 )
 def hierarchy_map(spark, sf):
-    """Region -> (name -> id), read back as rows."""
+    """Region -> (name -> ids), read back as rows; counties stand for names, so that blocks share some."""
     seen = fx.sightings(spark, sf, species=False).select("pba3_block").distinct()
-    named = joins.with_block_attributes(seen, fx.blocks(spark, sf))
-    nested = completion.region_hierarchy(named)
-    return nested.select("block_region", F.explode("blocks").alias("block_name", "pba3_block"))
+    named = joins.with_block_attributes(seen, fx.blocks(spark, sf)).withColumn("block_name", F.col("block_county"))
+    nested = completion.region_hierarchy(named).select("block_region", F.explode("blocks").alias("block_name", "ids"))
+    return nested.select("block_region", "block_name", F.explode("ids").alias("pba3_block"))
 
 

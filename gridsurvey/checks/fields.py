@@ -141,11 +141,20 @@ def fn_row(spark, sf):
 
 @query(
     "fn_array",
-    """SELECT l_orderkey, line, quantity FROM (SELECT l_orderkey, l_linenumber AS line, l_quantity AS quantity FROM lineitem)""",
+    """SELECT l_orderkey, string_agg(l_linenumber::VARCHAR || ':' || l_quantity::BIGINT::VARCHAR, ',' ORDER BY l_linenumber DESC, l_quantity DESC) AS by_line,
+  count(*) FILTER (WHERE l_quantity > 25) AS large, max(l_quantity)::BIGINT AS most, sum(l_quantity)::BIGINT AS total
+FROM lineitem GROUP BY 1""",
 )
 def fn_array(spark, sf):
-    """Rows of an order nested and unnested again."""
-    nested = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))).alias("rows")
+    """Rows of an order nested, ordered, transformed, filtered and folded."""
+    row = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("bigint").alias("quantity"))
+    nested = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(row).alias("rows"))
+    ordered = F.sort_array("rows", asc=False)
+    quantities = F.transform("rows", lambda r: r.quantity)
+    return nested.select(
+        "l_orderkey",
+        F.array_join(F.transform(ordered, lambda r: F.concat_ws(":", r.line.cast("string"), r.quantity.cast("string"))), ",").alias("by_line"),
+        F.size(F.filter("rows", lambda r: r.quantity > 25)).cast("bigint").alias("large"),
+        F.array_max(quantities).alias("most"),
+        F.aggregate(quantities, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"),
     )
-    return nested.select("l_orderkey", F.inline("rows"))

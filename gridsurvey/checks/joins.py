@@ -260,31 +260,53 @@ def set_union_tagged(spark, sf):
     with_views(
         """SELECT b.pba3_block, coalesce(n, 0) AS nocturnal_species_coded FROM (SELECT DISTINCT pba3_block FROM sightings ) b
 LEFT JOIN (SELECT pba3_block, count(DISTINCT common_name) AS n FROM sightings 
-  WHERE breeding_rank >= 4 AND common_name IN (SELECT common_name FROM nocturnal ) AND observation_month = 'Jan' AND duration_minutes > 265
+  WHERE breeding_rank >= 4 AND common_name IN (SELECT common_name FROM nocturnal WHERE length(common_name) > 12)
+    AND pba3_block NOT IN (SELECT pba3_block FROM blocks )
   GROUP BY 1) c ON b.pba3_block IS NOT DISTINCT FROM c.pba3_block""",
         "sightings",
         "nocturnal",
+        "blocks",
     ),
 )
 def join_complete_keys(spark, sf):
+    """Listed species confirmed in blocks without a name; every other block has none."""
     x = fx.sightings(spark, sf)
-    some = joins.keep_species(x, fx.nocturnal_species(spark, sf)).filter(
-        "breeding_rank >= 4 and observation_month = 'Jan' and duration_minutes > 265"
-    )
+    listed = fx.nocturnal_species(spark, sf).filter("length(common_name) > 12")
+    unnamed = x.join(fx.blocks(spark, sf), "pba3_block", "left_anti").filter("pba3_block is not null")
+    some = joins.keep_species(unnamed, listed).filter("breeding_rank >= 4")
     counted = metrics.calc_species_observed(some).withColumnRenamed("species_observed", "nocturnal_species_coded")
     return joins.complete_keys(counted, x, ["pba3_block"], {"nocturnal_species_coded": 0})
 
 
+_COMPARED = """(SELECT pba3_block, sum(duration_minutes)/60 AS h1, sum(effort_distance_km) AS k1 FROM
+    (SELECT DISTINCT pba3_block, checklist_id, duration_minutes, effort_distance_km FROM sightings ) GROUP BY 1) a
+  JOIN (SELECT pba3_block AS b, sum(m)/60 AS h2, sum(k) AS k2 FROM
+    (SELECT pba3_block, checklist_id, max(duration_minutes) AS m, max(effort_distance_km) AS k FROM sightings GROUP BY 1, 2)
+    GROUP BY 1) c ON a.pba3_block IS NOT DISTINCT FROM c.b"""
+
+
+@query(
+    "join_compare_averages",
+    with_views(
+        """SELECT count(*) AS blocks, count(*) FILTER (round(h2 - h1, 6) <> 0 OR round(k2 - k1, 6) <> 0) AS blocks_differing,
+  round(avg(h2 - h1), 6) AS duration_hours_diff_avg, round(avg(k2 - k1), 6) AS effort_distance_diff_avg FROM """ + _COMPARED,
+        "sightings",
+    ),
+)
+def join_compare_averages(spark, sf):
+    x = _effort(spark, sf)
+    compared = metrics.compare_effort(metrics.effort_naive(x), metrics.effort_adjusted(x))
+    # Six decimals first: sums of the same numbers in another order are no difference.
+    compared = compared.withColumns({c: F.round(c, 6) for c in ("duration_hours_diff", "effort_distance_diff")})
+    df = metrics.average_differences(compared)
+    return df.withColumns({c: r6(c) for c in ("duration_hours_diff_avg", "effort_distance_diff_avg")})
+
+
 @query(
     "join_compare_tables",
     with_views(
         """SELECT pba3_block, round(h1, 6) AS duration_hours_total_naive, round(h2, 6) AS duration_hours_total_adj,
-  round(h2 - h1, 6) AS duration_hours_diff, round(k2 - k1, 6) AS effort_distance_diff FROM
-  (SELECT pba3_block, sum(duration_minutes)/60 AS h1, sum(effort_distance_km) AS k1 FROM
-    (SELECT DISTINCT pba3_block, checklist_id, duration_minutes, effort_distance_km FROM sightings ) GROUP BY 1) a
-  JOIN (SELECT pba3_block AS b, sum(m)/60 AS h2, sum(k) AS k2 FROM
-    (SELECT pba3_block, checklist_id, max(duration_minutes) AS m, max(effort_distance_km) AS k FROM sightings GROUP BY 1, 2)
-    GROUP BY 1) c ON a.pba3_block IS NOT DISTINCT FROM c.b""",
+  round(h2 - h1, 6) AS duration_hours_diff, round(k2 - k1, 6) AS effort_distance_diff FROM """ + _COMPARED,
         "sightings",
     ),
 )

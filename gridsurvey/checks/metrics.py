@@ -423,13 +423,16 @@ def species_observed_state(spark, sf):
     with_expected(
         """SELECT pba3_block, common_name, observation_month, observations, checklist_count, round(observed_pct, 6) AS observed_pct,
   round(observed_pct * checklist_count, 6) AS observed_pct_weighted
-FROM expected WHERE common_name = 'blue gear' AND observation_month = 'Jun'"""
+FROM expected WHERE observation_month = 'Jun' AND common_name =
+  (SELECT min(common_name) FROM sightings WHERE observation_month = 'Jun' AND pba3_block IS NOT NULL)"""
     ),
 )
 def weighted_presence(spark, sf):
     x = fx.processed_sightings(spark, sf)
     mapped = joins.in_season(x, "Breeding").select("pba3_block").distinct()
-    df = expected.weighted_presence(expected.species_observed_pct(x), mapped, "blue gear", "Jun")
+    seen = x.filter("observation_month = 'Jun' and pba3_block is not null")
+    first = seen.agg(F.min("common_name")).scalar()
+    df = expected.weighted_presence(expected.species_observed_pct(x), mapped, first, "Jun")
     return rounded(df, "observed_pct", "observed_pct_weighted")
 
 
@@ -454,6 +457,22 @@ def eb_shrinkage(spark, sf):
     )
 
 
+@query(
+    "eb_shrinkage_totals",
+    with_expected(
+        """, totals AS (SELECT common_name, sum(checklist_count)::BIGINT AS n, sum(observations)::BIGINT AS k FROM expected GROUP BY 1)
+SELECT common_name, round(k/n, 6) AS raw, round((mu*w + k)/(w + n), 6) AS fitted, round(mu, 6) AS prior_mean FROM totals CROSS JOIN
+(SELECT mu, mu*(1-mu)/s2 - 1 AS w FROM (SELECT avg(k/n) AS mu, var_samp(k/n) AS s2 FROM totals))"""
+    ),
+)
+def eb_shrinkage_totals(spark, sf):
+    """Shrinkage of the per-species totals."""
+    df = expected.shrink_rates(expected.species_totals(expected_frame(spark, sf)))
+    return df.select(
+        "common_name", r6("`.raw`").alias("raw"), r6("`.fitted`").alias("fitted"), r6("prior_mean").alias("prior_mean")
+    )
+
+
 @query(
     "complete_grid",
     with_views(

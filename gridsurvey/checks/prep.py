@@ -43,12 +43,11 @@ _FIRST = ["event_id", "duration_minutes", "observation_count", "breeding_categor
         """SELECT checklist_id, common_name, observers AS observer_id, event_id, duration_minutes, observation_count,
   breeding_category
 FROM (SELECT *, coalesce(group_id, event_id) AS checklist_id,
-    row_number() OVER (PARTITION BY coalesce(group_id, event_id), common_name
-      ORDER BY event_id, duration_minutes NULLS FIRST, observation_count NULLS FIRST, breeding_category NULLS FIRST) AS rn
+    CASE WHEN group_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY group_id, common_name
+      ORDER BY event_id, duration_minutes NULLS FIRST, observation_count NULLS FIRST, breeding_category NULLS FIRST) END AS rn,
+    CASE WHEN group_id IS NULL THEN observer_id ELSE array_to_string(list_sort(list_distinct(list(observer_id) OVER
+      (PARTITION BY group_id, common_name))), ',') END AS observers
   FROM raw )
-JOIN (SELECT coalesce(group_id, event_id) AS checklist_id, common_name,
-    string_agg(DISTINCT observer_id, ',' ORDER BY observer_id) AS observers FROM raw GROUP BY 1, 2)
-  USING (checklist_id, common_name)
 WHERE rn = 1""",
         "raw",
     ),
@@ -58,22 +57,77 @@ def prep_shared_dedupe(spark, sf):
     return prep.collapse_shared(df).drop("group_id")
 
 
+_SUMMED = """CASE WHEN bool_or(coalesce(observation_count = 'X', FALSE)) THEN 'X'
+  ELSE sum(CASE WHEN observation_count <> 'X' THEN observation_count::INTEGER END)::VARCHAR END"""
+_LARGEST = """coalesce(max(CASE WHEN observation_count <> 'X' THEN observation_count::INTEGER END)::VARCHAR,
+    max(CASE WHEN observation_count = 'X' THEN 'X' END))"""
+
+
+def _rollup_sql(count: str) -> str:
+    return with_views(
+        f"""SELECT checklist_id, common_name, {count} AS observation_count,
+  any_value(breeding_category) FILTER (rn = 1) AS breeding_category, any_value(breeding_code) FILTER (rn = 1) AS breeding_code
+FROM (SELECT *, row_number() OVER (PARTITION BY checklist_id, common_name
+    ORDER BY breeding_category DESC, breeding_code NULLS FIRST) AS rn
+  FROM (SELECT event_id AS checklist_id, common_name, observation_count, coalesce(trim(breeding_category), 'C1') AS breeding_category,
+    trim(regexp_replace(breeding_code, '\\s+', ' ', 'g')) AS breeding_code
+    FROM raw WHERE taxon_category IN ('species','issf','form','domestic')))
+GROUP BY 1, 2""",
+        "raw",
+    )
+
+
+def _rolled_up(spark, sf, rule):
+    raw = prep.clean_codes(fx.raw_sightings(spark, sf))
+    return prep.roll_up_taxa(raw.select(
+        F.col("event_id").alias("checklist_id"), "common_name", "taxon_category", "observation_count", "breeding_category",
+        "breeding_code",
+    ), rule)
+
+
+@query("prep_taxon_rollup", _rollup_sql(_SUMMED))
+def prep_taxon_rollup(spark, sf):
+    return _rolled_up(spark, sf, "sum")
+
+
+@query("prep_taxon_rollup_max", _rollup_sql(_LARGEST))
+def prep_taxon_rollup_max(spark, sf):
+    return _rolled_up(spark, sf, "max")
+
+
 @query(
-    "prep_taxon_rollup",
+    "prep_sightings",
     with_views(
-        """SELECT event_id AS checklist_id, common_name,
-  coalesce(max(CASE WHEN observation_count <> 'X' THEN observation_count::INTEGER END)::VARCHAR,
-    max(CASE WHEN observation_count = 'X' THEN 'X' END)) AS observation_count,
-  max(breeding_category) AS breeding_category
-FROM raw WHERE taxon_category IN ('species','issf','form','domestic') GROUP BY 1, 2""",
+        """, cleaned AS (SELECT * REPLACE (coalesce(trim(breeding_category), 'C1') AS breeding_category,
+    trim(regexp_replace(breeding_code, '\\s+', ' ', 'g')) AS breeding_code) FROM raw 
+  WHERE observation_date BETWEEN DATE '1993-01-01' AND DATE '1997-06-30' AND list_contains(string_split(project_names, ', '), 'Grid Survey')),
+shared AS (SELECT *, group_id AS checklist_id, row_number() OVER (PARTITION BY group_id, common_name ORDER BY event_id,
+    taxon_category, breeding_code NULLS FIRST, breeding_category, observation_date, time_observations_started NULLS FIRST,
+    duration_minutes NULLS FIRST, effort_distance_km, longitude, latitude, atlas_block NULLS FIRST, project_names, protocol_name,
+    observation_count NULLS FIRST) AS rn,
+  array_to_string(list_sort(list_distinct(list(observer_id) OVER (PARTITION BY group_id, common_name))), ',') AS observers
+  FROM cleaned WHERE group_id IS NOT NULL),
+rows AS (SELECT * EXCLUDE (rn, observers) REPLACE (observers AS observer_id) FROM shared WHERE rn = 1
+  UNION ALL SELECT *, event_id FROM cleaned WHERE group_id IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY checklist_id, common_name ORDER BY breeding_category DESC, observer_id, event_id,
+    group_id NULLS FIRST, breeding_code NULLS FIRST, observation_date, time_observations_started NULLS FIRST,
+    duration_minutes NULLS FIRST, effort_distance_km, longitude, latitude, atlas_block NULLS FIRST, project_names, protocol_name) AS rn
+  FROM rows WHERE taxon_category IN ('species','issf','form','domestic'))
+SELECT checklist_id, common_name, """ + _SUMMED + """ AS observation_count, any_value(breeding_category) FILTER (rn = 1) AS breeding_category,
+  any_value(breeding_code) FILTER (rn = 1) AS breeding_code, any_value(observer_id) FILTER (rn = 1) AS observer_id,
+  any_value(atlas_block) FILTER (rn = 1) AS pba3_block, any_value(duration_minutes) FILTER (rn = 1) AS duration_minutes,
+  any_value(strftime(observation_date, '%b')) FILTER (rn = 1) AS observation_month
+FROM ranked GROUP BY 1, 2""",
         "raw",
-    ),
+    ).replace("\n,", ",", 1),
 )
-def prep_taxon_rollup(spark, sf):
-    df = fx.raw_sightings(spark, sf).select(
-        F.col("event_id").alias("checklist_id"), "common_name", "taxon_category", "observation_count", "breeding_category"
+def prep_sightings(spark, sf):
+    """The whole way from raw rows to the processed table."""
+    df = prep.prepare_sightings(fx.raw_sightings(spark, sf), "Grid Survey", start="1993-01-01", release="Jun-1997")
+    return df.select(
+        "checklist_id", "common_name", "observation_count", "breeding_category", "breeding_code", "observer_id", "pba3_block",
+        "duration_minutes", "observation_month",
     )
-    return prep.roll_up_taxa(df)
 
 
 @query(

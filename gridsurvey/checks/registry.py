@@ -91,7 +91,8 @@ SELECT 'S' || CAST(o_orderkey AS VARCHAR) || '-' || CAST(l_suppkey % 3 AS VARCHA
   'obs' || CAST(l_suppkey % 7 AS VARCHAR) AS observer_id, common_name,
   (['species','issf','form','spuh','domestic'])[CAST(l_partkey % 5 AS INTEGER) + 1] AS taxon_category,
   CASE WHEN l_linenumber % 5 <> 0 THEN '  ' || l_returnflag || '  ' || l_linestatus || ' ' END AS breeding_code,
-  CASE WHEN l_linenumber % 5 <> 0 THEN ' C' || CAST(l_linenumber % 5 AS VARCHAR) || ' ' END AS breeding_category,
+  CASE WHEN l_linenumber % 5 <> 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN ' ' ELSE '' END || 'C' ||
+    CAST(l_linenumber % 5 AS VARCHAR) || ' ' END AS breeding_category,
   CAST(o_orderdate AS DATE) AS observation_date,
   CASE WHEN l_quantity >= 3 THEN strftime(start_time, '%H:%M:%S') END AS time_observations_started,
   CASE WHEN l_quantity <= 45 THEN l_quantity * 6 END AS duration_minutes,

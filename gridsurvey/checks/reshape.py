@@ -18,8 +18,8 @@ def _effort(spark, sf):
 VIEWS["old_matrix"] = """
 SELECT pba3_block, word AS common_name, breeding_category_desc, breeding_rank FROM
   (SELECT DISTINCT pba3_block FROM lines WHERE l_returnflag = 'R')
-  CROSS JOIN (SELECT unnest(['blue','cold','hot','large','new','old','red','small']) AS word)
-  LEFT JOIN (SELECT pba3_block AS k, split_part(p_name, ' ', 1) AS w, 1 + max(l_linenumber % 4) AS rank
+  CROSS JOIN (SELECT DISTINCT p_name AS word FROM part)
+  LEFT JOIN (SELECT pba3_block AS k, p_name AS w, 1 + max(l_linenumber % 4) AS rank
     FROM lines WHERE l_returnflag = 'R' GROUP BY 1, 2) ON w = word AND k IS NOT DISTINCT FROM pba3_block
   LEFT JOIN categories ON breeding_rank = rank"""
 

@@ -114,14 +114,14 @@ def geo_mercator(spark, sf):
     "join_spatial_cover",
     with_views(
         """SELECT pba2_block::INTEGER AS pba2_block, checklist_id FROM polygons LEFT JOIN
-  (SELECT DISTINCT checklist_id, longitude, latitude FROM sightings WHERE duration_minutes > 200)
+  (SELECT DISTINCT checklist_id, longitude, latitude FROM sightings )
 ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1""",
         "polygons",
         "sightings",
     ),
 )
 def join_spatial_cover(spark, sf):
-    points = _keys(spark, sf).filter("duration_minutes > 200").select("checklist_id", "longitude", "latitude").distinct()
+    points = _keys(spark, sf).select("checklist_id", "longitude", "latitude").distinct()
     df = spatial.join_covering(fx.polygons(spark, sf), points, "pba2_block", CELL)
     return df.select("pba2_block", "checklist_id")
 

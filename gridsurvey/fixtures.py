@@ -19,9 +19,6 @@ from .session import scratch_path
 from .sources.readers import read_parquet
 from .sources.writers import write_parquet
 
-FIRST_WORDS = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
-
-
 _SCHEMAS: dict[str, StructType] = {}
 
 
@@ -122,7 +119,9 @@ def raw_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(line % 5 != 0, _text("  ", F.col("l_returnflag"), "  ", F.col("l_linestatus"), " ")).alias(
             "breeding_code"
         ),
-        F.when(line % 5 != 0, _text(" C", (line % 5).cast("string"), " ")).alias("breeding_category"),
+        F.when(line % 5 != 0, _text(F.when(supp % 2 == 0, " ").otherwise(""), "C", (line % 5).cast("string"), " ")).alias(
+            "breeding_category"
+        ),
         F.to_date("o_orderdate").alias("observation_date"),
         F.when(quantity >= 3, F.date_format(_start(order, line), "HH:mm:ss")).alias("time_observations_started"),
         F.when(quantity <= 45, quantity * 6).alias("duration_minutes"),
@@ -170,11 +169,14 @@ def old_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def old_survey_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old survey, wide: one row per block, one column per first word of the species name."""
+    """Old survey, wide: one row per block, one column per species.
+
+    A matrix has its species in its header, so their names are read first.
+    """
+    names = [r.common_name for r in _species(spark, sf_dir).orderBy("common_name").collect()]
     rows = _lines(spark, sf_dir).filter("l_returnflag = 'R'")
-    rows = rows.withColumn("word", F.split_part("common_name", F.lit(" "), F.lit(1)))
-    wide = pivot_fixed(rows, ["pba3_block"], "word", FIRST_WORDS, F.max(1 + F.col("l_linenumber") % 4))
-    return wide.select("pba3_block", *[description_of_rank(F.col(w)).alias(w) for w in FIRST_WORDS])
+    wide = pivot_fixed(rows, ["pba3_block"], "common_name", names, F.max(1 + F.col("l_linenumber") % 4))
+    return wide.select("pba3_block", *[description_of_rank(F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:

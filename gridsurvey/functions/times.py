@@ -32,6 +32,10 @@ def exists_on_clock(c: Column, tz: str = SURVEY_TZ) -> Column:
     return utc_to_local(local_to_utc(c, tz), tz) == c
 
 
+#: Hours of the day in which a zone's clock was ever set forward.
+GAP_HOURS = {"America/New_York": (2,)}
+
+
 def wall_clock(day: Column, time_of_day: Column, tz: str = SURVEY_TZ) -> Column:
     """Date and ``h:mm:ss`` text to a wall-clock timestamp.
 
@@ -41,7 +45,10 @@ def wall_clock(day: Column, time_of_day: Column, tz: str = SURVEY_TZ) -> Column:
     text = F.concat(day.cast("string"), F.lit(" "), time_of_day)
     complete = time_of_day.rlike(r"^\s*\d{1,2}:\d{1,2}:\d{1,2}(\.\d+)?\s*$")
     parsed = F.when(complete, text.try_cast("timestamp_ntz"))
-    return F.when(exists_on_clock(parsed, tz), parsed)
+    hours = GAP_HOURS.get(tz)
+    # The way to UTC and back costs more than the parsing, so it is left to the rows a gap can hold.
+    exists = exists_on_clock(parsed, tz) if hours is None else ~F.hour(parsed).isin(*hours) | exists_on_clock(parsed, tz)
+    return F.when(exists, parsed)
 
 
 def release_month_end(label: Column) -> Column:

@@ -97,14 +97,14 @@ def region_blocks(mart: DataFrame) -> DataFrame:
 
 
 def region_hierarchy(mart: DataFrame) -> DataFrame:
-    """Region -> map of block name to block id.
+    """Region -> map of block name to the sorted ids of the blocks that bear it.
 
-    Built from the block dimension after ``distinct``: a map holds one entry
-    per grid cell of the region, whatever the number of sightings. Names are
-    taken once, with the smallest block id.
+    Built from the block dimension after ``distinct``: a map holds one id per
+    grid cell of the region, whatever the number of sightings.
     """
-    named = region_blocks(mart).groupBy("block_region", "block_name").agg(F.min(BLOCK).alias(BLOCK))
-    entries = F.sort_array(F.collect_list(F.struct("block_name", BLOCK)))
+    named = region_blocks(mart).filter("block_name is not null").groupBy("block_region", "block_name").agg(
+        F.sort_array(F.collect_set(BLOCK)).alias("ids"))
+    entries = F.sort_array(F.collect_list(F.struct("block_name", "ids")))
     return named.groupBy("block_region").agg(F.map_from_entries(entries).alias("blocks"))
 
 

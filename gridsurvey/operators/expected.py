@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lookups import season_months
@@ -63,8 +63,8 @@ def species_totals(expected: DataFrame) -> DataFrame:
     )
 
 
-def weighted_presence(expected: DataFrame, blocks: DataFrame, species: str, month: str) -> DataFrame:
-    """Share x checklists per block for one species and month."""
+def weighted_presence(expected: DataFrame, blocks: DataFrame, species: str | Column, month: str) -> DataFrame:
+    """Share x checklists per block for one species and month; the species may be a scalar subquery."""
     one = expected.filter((F.col("common_name") == species) & (F.col("observation_month") == month))
     return blocks.join(one, BLOCK, "inner").withColumn(
         "observed_pct_weighted", F.col("observed_pct") * F.col("checklist_count")

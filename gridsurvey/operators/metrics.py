@@ -212,6 +212,17 @@ def compare_effort(naive: DataFrame, adjusted: DataFrame) -> DataFrame:
     )
 
 
+def average_differences(compared: DataFrame) -> DataFrame:
+    """One row: blocks compared, blocks whose effort differs, and the average differences of hours and distance."""
+    hours, distance = F.col("duration_hours_diff"), F.col("effort_distance_diff")
+    return compared.agg(
+        F.count("*").alias("blocks"),
+        F.count(F.when((hours != 0) | (distance != 0), 1)).alias("blocks_differing"),
+        F.avg(hours).alias("duration_hours_diff_avg"),
+        F.avg(distance).alias("effort_distance_diff_avg"),
+    )
+
+
 def location_counts(x: DataFrame) -> DataFrame:
     """Distinct checklists per coordinate."""
     return (

@@ -46,33 +46,41 @@ def collapse_shared(df: DataFrame) -> DataFrame:
 
     ``checklist_id`` is the group id of a shared checklist, else the event id.
     Every other column comes from the copy with the smallest event id;
-    ``observer_id`` becomes the comma list of all observers. Both aggregates
-    merge map-side, so copies of one checklist meet as partial states, not as
-    rows.
+    ``observer_id`` becomes the comma list of all observers. Rows without a
+    group id have no copies: they pass by the shuffle unchanged. Both
+    aggregates merge map-side, so copies of one checklist meet as partial
+    states, not as rows.
     """
-    tagged = df.withColumn("checklist_id", F.coalesce("group_id", "event_id"))
-    carried = [c for c in tagged.columns if c not in ("checklist_id", "common_name", "observer_id")]
+    carried = [c for c in df.columns if c not in ("checklist_id", "common_name", "observer_id")]
+    columns = ["checklist_id", "common_name", "observer_id", *carried]
+    observer = F.nullif("observer_id", F.lit("")).alias("observer_id")
     first = F.min_by(F.struct(*carried), F.struct("event_id", *[c for c in carried if c != "event_id"]))
-    return (
-        tagged.groupBy("checklist_id", "common_name")
+    shared = (
+        df.filter(F.col("group_id").isNotNull())
+        .groupBy(F.col("group_id").alias("checklist_id"), "common_name")
         .agg(
             first.alias("first"),
             F.array_join(F.sort_array(F.collect_set("observer_id")), ",").alias("observer_id"),
         )
-        .select("checklist_id", "common_name", F.nullif("observer_id", F.lit("")).alias("observer_id"), "first.*")
+        .select("checklist_id", "common_name", observer, "first.*")
     )
+    alone = df.filter(F.col("group_id").isNull()).select(
+        F.col("event_id").alias("checklist_id"), "common_name", observer, *carried
+    )
+    return shared.select(*columns).unionByName(alone)
 
 
 SPECIES_LEVEL = ("species", "issf", "form", "domestic")
 
 
-def roll_up_taxa(df: DataFrame, count_rule: str = "max") -> DataFrame:
+def roll_up_taxa(df: DataFrame, count_rule: str = "sum") -> DataFrame:
     """Drop taxa above species level and merge sub-species into their species.
 
-    One row per (checklist, species) is left, with the highest category and
-    the smallest values of the remaining columns' row. The count is the
-    largest reported (``max``) or the total (``sum``); with ``sum`` an
-    uncounted ``X`` makes the total ``X``.
+    One row per (checklist, species) is left: the row with the highest
+    category, of equal ones the smallest by its other columns, so that
+    category and code always belong together. Categories must be clean, see
+    :func:`clean_codes`. Only the count is merged: the total (``sum``), which
+    an uncounted ``X`` makes ``X``, or the largest reported (``max``).
     """
     number = parse_count(F.col("observation_count"))
     if count_rule == "sum":
@@ -85,13 +93,18 @@ def roll_up_taxa(df: DataFrame, count_rule: str = "max") -> DataFrame:
         )
     given = ("checklist_id", "common_name", "taxon_category", "observation_count", "breeding_category")
     carried = [c for c in df.columns if c not in given]
-    aggs = [count.alias("observation_count")]
+    species = df.filter(F.col("taxon_category").isin(*SPECIES_LEVEL))
+    order = [F.struct(*carried)] if carried else []
     if "breeding_category" in df.columns:
-        aggs.append(F.max("breeding_category").alias("breeding_category"))
-    if carried:
-        aggs.append(F.min(F.struct(*carried)).alias("first"))
-    out = df.filter(F.col("taxon_category").isin(*SPECIES_LEVEL)).groupBy("checklist_id", "common_name").agg(*aggs)
-    return out.select("*", "first.*").drop("first") if carried else out
+        carried.append("breeding_category")
+        # Falling by category: unknown and missing ones last, by the complement of what ``max`` would take.
+        order.insert(0, -F.coalesce(rank_of(F.col("breeding_category")), F.lit(-1)))
+        order.append(F.col("breeding_category"))
+    if not carried:
+        return species.groupBy("checklist_id", "common_name").agg(count.alias("observation_count"))
+    first = F.min_by(F.struct(*carried), F.struct(*order))
+    out = species.groupBy("checklist_id", "common_name").agg(count.alias("observation_count"), first.alias("first"))
+    return out.select("checklist_id", "common_name", "observation_count", "first.*")
 
 
 def clean_codes(df: DataFrame) -> DataFrame:
@@ -178,8 +191,9 @@ def prepare_sightings(
     df = in_date_range(raw, start) if release is None else up_to_release(raw, release, start)
     if project is not None:
         df = in_project(df, project)
+    df = clean_codes(df)
     if {"group_id", "event_id"} <= set(df.columns):
         df = collapse_shared(df)
     if "taxon_category" in df.columns:
         df = roll_up_taxa(df)
-    return rename_block(with_observation_times(clean_codes(df), tz))
+    return rename_block(with_observation_times(df, tz))

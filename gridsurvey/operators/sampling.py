@@ -69,11 +69,13 @@ def _cutoff(keyed: DataFrame, k: Column) -> Column:
 def take_smallest(df: DataFrame, key: Column, fraction: float, tie: list[str]) -> DataFrame:
     """The floor(fraction x rows) rows with the smallest positive key; rows without a key are never taken.
 
-    No global sort and no driver-side top-k: the rows are filtered in place
-    against an exact threshold.
+    If fewer rows have a key than are asked for, all of them are taken. No
+    global sort and no driver-side top-k: the rows are filtered in place
+    against an exact threshold. That takes five passes over ``df``, with the
+    keys computed in each, so hand it a written table.
     """
     keyed = df.withColumns({"__key": key, "__tie": F.struct(*tie)}).filter(F.col("__key") > 0)
-    k = df.agg(F.floor(F.count("*") * F.lit(fraction))).scalar()
+    k = df.agg(F.least(F.floor(F.count("*") * F.lit(fraction)), F.count(F.when(key > 0, 1)))).scalar()
     return keyed.filter(F.struct("__key", "__tie") <= _cutoff(keyed, k)).drop("__key", "__tie")
 
 
