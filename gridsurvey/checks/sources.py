@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.text import release_label
+from ..operators.spatial import covers
 from ..session import scratch_path
 from ..sources import readers, writers
 from .registry import query, r6, text, with_views
@@ -23,11 +24,18 @@ def src_parquet(spark, sf):
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
-@query("src_csv", "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
+@query(
+    "src_csv",
+    """SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer
+UNION ALL SELECT NULL, 'c_name', NULL, NULL, 'c_mktsegment' FROM customer""",
+)
 def src_csv(spark, sf):
-    """CSV whose title line is skipped instead of read as a header."""
+    """Several files whose title lines are skipped by place: lines with the same text among the data stay."""
     path = scratch_path(spark, "csv")
-    writers.write_csv(fx.table(spark, sf, "customer").select(*fields(CUSTOMER)), path)
+    rows = fx.table(spark, sf, "customer").select(*fields(CUSTOMER))
+    titles = rows.select(*[F.lit(c).alias(c) for c in rows.columns])
+    rows = rows.select(*[F.col(c).cast("string") for c in rows.columns])
+    writers.write_csv(rows.union(titles).repartition(3), path)
     df = readers.read_csv(spark, path, CUSTOMER, header=False, skip=1)
     return df.withColumn("c_acctbal", r6("c_acctbal"))
 
@@ -77,23 +85,46 @@ def src_text_scalar(spark, sf):
 @query(
     "src_polygons",
     with_views(
-        """SELECT pba2_block::INTEGER AS pba2_block, 5::BIGINT AS vertices, x0 AS xmin, x1 AS xmax, y0 AS ymin, y1 AS ymax
+        """SELECT pba2_block::INTEGER AS pba2_block, 10::BIGINT AS vertices, 2::BIGINT AS rings,
+  x0 AS xmin, CASE WHEN pba2_block % 2 = 0 THEN x1 + 100 ELSE x1 END AS xmax, y0 AS ymin, y1 AS ymax,
+  pba2_block % 2 = 0 AS middle_covered, pba2_block % 2 = 0 AS second_part_covered
 FROM polygons""",
         "polygons",
     ),
 )
 def src_polygons(spark, sf):
+    """Squares, odd ones with a square hole, even ones with a second part 100 degrees to the east."""
     path = scratch_path(spark, "polygons")
-    writers.write_polygons(fx.polygons(spark, sf), path, "BLOCK_ID")
+    corner = F.element_at("ring", 1)
+    square = lambda x, y, side: F.array(*[
+        F.array(x + dx * side, y + dy * side) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    whole = square(corner.x, corner.y, 0.5)
+    shapes = {
+        "Polygon": ("pba2_block % 2 = 1", F.array(whole, square(corner.x + 0.125, corner.y + 0.125, 0.25))),
+        "MultiPolygon": ("pba2_block % 2 = 0", F.array(F.array(whole), F.array(square(corner.x + 100, corner.y, 0.5)))),
+    }
+    blocks = fx.polygons(spark, sf)
+    lines = [
+        blocks.filter(which).select(F.to_json(F.struct(
+            F.lit("Feature").alias("type"), F.struct(F.col("pba2_block").cast("string").alias("BLOCK_ID")).alias("properties"),
+            F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"))).alias("value"))
+        for kind, (which, coordinates) in shapes.items()
+    ]
+    lines[0].union(lines[1]).write.text(path)
     df = readers.read_polygons(spark, path, "BLOCK_ID")
-    xs, ys = F.transform("ring", lambda p: p.x), F.transform("ring", lambda p: p.y)
+    points = F.flatten("rings")
+    xs, ys = F.transform(points, lambda p: p.x), F.transform(points, lambda p: p.y)
+    x, y = corner.x + 0.25, corner.y + 0.25
     return df.select(
         "pba2_block",
-        F.size("ring").cast("bigint").alias("vertices"),
+        F.size(points).cast("bigint").alias("vertices"),
+        F.size("rings").cast("bigint").alias("rings"),
         F.array_min(xs).alias("xmin"),
         F.array_max(xs).alias("xmax"),
         F.array_min(ys).alias("ymin"),
         F.array_max(ys).alias("ymax"),
+        covers(F.col("rings"), x, y).alias("middle_covered"),
+        covers(F.col("rings"), x + 100, y).alias("second_part_covered"),
     )
 
 

@@ -15,9 +15,7 @@ from .functions.categories import description_of_rank
 from .lookups import WEEKS
 from .operators.prep import with_rank
 from .operators.reshape import pivot_fixed
-from .session import scratch_path
 from .sources.readers import read_parquet
-from .sources.writers import write_parquet
 
 _SCHEMAS: dict[str, StructType] = {}
 
@@ -93,18 +91,6 @@ def sightings(spark: SparkSession, sf_dir: str, species: bool = True, ranked: bo
     return with_rank(df) if ranked else df
 
 
-def processed_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sightings as a written table, with ranks attached on reading.
-
-    For queries that read the sightings at several grains: the joins of the
-    adapter run once, and every grain scans only its own columns.
-    """
-    path = scratch_path(spark, "sightings")
-    narrow = sightings(spark, sf_dir, ranked=False)
-    write_parquet(narrow, path)
-    return with_rank(spark.read.schema(narrow.schema).parquet(path))
-
-
 def raw_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as they come from the source: copies of shared checklists, sub-species, untrimmed codes."""
     order, line, supp, quantity = (F.col(c) for c in ("o_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))

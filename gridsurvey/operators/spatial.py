@@ -1,7 +1,8 @@
 """Points, polygons and the polygon-to-block mapping, without a geometry engine.
 
-A polygon is ``ring``: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>; a point is two
-double columns.
+A polygon is ``ring``: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>, or, with holes and
+several parts, ``rings``: an array of such rings; a point is two double
+columns.
 """
 
 from __future__ import annotations
@@ -34,17 +35,21 @@ def bounding_box(df: DataFrame, x: str, y: str, buffer: float = 0.0) -> DataFram
     )
 
 
-def covers(ring: Column, x: Column, y: Column) -> Column:
-    """True where the ring's area or boundary holds the point (even-odd rule, no division)."""
+def _ring_edges(ring: Column) -> Column:
     closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(
         F.concat(ring, F.array(F.element_at(ring, 1)))
     )
-    edges = F.zip_with(
+    return F.zip_with(
         F.slice(closed, F.lit(1), F.size(closed) - 1),
         F.slice(closed, F.lit(2), F.size(closed) - 1),
         lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")),
     )
 
+
+def covers(rings: Column, x: Column, y: Column) -> Column:
+    """True where the area or boundary of the rings holds the point (even-odd rule over all rings, no division)."""
+    edges = F.flatten(F.transform(rings, _ring_edges))
+
     def side(e: Column) -> Column:
         return (e.x2 - e.x1) * (y - e.y1) - (x - e.x1) * (e.y2 - e.y1)
 
@@ -81,7 +86,8 @@ def join_covering(
     point are added by an anti-join on the distinct ids found, so a polygon
     holding many points never brings them into one task.
     """
-    xs, ys = F.transform("ring", lambda p: p.x), F.transform("ring", lambda p: p.y)
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    xs, ys = (F.transform(F.flatten(rings), lambda p: p[axis]) for axis in ("x", "y"))
     boxed = polygons.select(
         *polygons.columns,
         F.array_min(xs).alias("x0"),
@@ -105,7 +111,7 @@ def join_covering(
     pairs = (
         gridded.join(placed, ["cx", "cy", "salt"], "inner")
         .filter(px.between(F.col("x0"), F.col("x1")) & py.between(F.col("y0"), F.col("y1")))
-        .filter(covers(F.col("ring"), px, py))
+        .filter(covers(rings, px, py))
         .select(*polygons.columns, *points.columns)
     )
     unmatched = polygons.join(pairs.select(polygon_id).distinct(), polygon_id, "left_anti")
@@ -202,7 +208,7 @@ def block_map(
     A corrected block takes its given old block, and the row of that old block
     left without a new one goes.
     """
-    joined = join_covering(polygons, centers, "pba2_block", cell).select("pba2_block", "ring", BLOCK)
+    joined = join_covering(polygons, centers, "pba2_block", cell).select(*polygons.columns, BLOCK)
     old = F.col("pba2_block")
     for new_block, old_block in overrides.items():
         old = F.when(F.col(BLOCK) == new_block, F.lit(old_block)).otherwise(old)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -33,19 +30,9 @@ def build_session(app_name: str = "gridsurvey", master: str | None = None, **con
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
+    """A fresh path under the folder the session names in ``spark.checkpoint.dir``, else under its warehouse.
 
-    Only a local session without that setting falls back to a temporary
-    folder of the machine; a cluster session must name a shared folder.
+    Both are folders that all executors share.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_folder()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-
-
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="gridsurvey-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -12,18 +12,36 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, skip: int = 0) -> DataFrame:
-    """CSV with a header, or without one and with the first ``skip`` lines of each file left out.
-
-    The lines to leave out are looked at once (``skip`` lines of one file, on
-    the driver) and filtered by their text, so files stay splittable.
+def read_csv(
+    spark: SparkSession, path: str, schema: str, header: bool = True, skip: int = 0, multi_line: bool = False
+) -> DataFrame:
+    """CSV without the first ``skip`` lines of each file, nor the header line after them if there is one.
+
+    Lines are left out by their place in their file, whatever they say, so a
+    later line with the same text stays. Files stay splittable, and nothing is
+    read while the frame is built. ``multi_line`` reads quoted line breaks,
+    for which a file is not split; ``skip`` then counts records.
     """
-    if header or not skip:
-        return spark.read.schema(schema).option("header", header).csv(path)
-    lines = spark.read.text(path)
-    top = [r.value for r in lines.take(skip)]
-    body = lines.filter(~F.col("value").isin(*top))
-    return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
+    reader = spark.read.schema(schema)
+    if not skip:
+        return reader.option("header", header).option("multiLine", multi_line).csv(path)
+    place = [F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__id")]
+    start = F.col("_metadata.file_block_start")
+    if multi_line:
+        rows = reader.option("multiLine", True).csv(path)
+        numbered = rows.select(*rows.columns, *place, F.lit(True).alias("__top"))
+    else:
+        numbered = spark.read.text(path).select("value", *place, (start == 0).alias("__top"))
+    # One row per file: the driver lists every file anyway.
+    tops = F.broadcast(
+        numbered.filter("__top").groupBy("__file").agg(F.min("__id").alias("__first")).withColumnRenamed("__file", "__of")
+    )
+    kept = numbered.join(tops, F.col("__file") == F.col("__of"), "left").filter(
+        ~F.col("__top") | (F.col("__id") - F.col("__first") >= skip + int(header))
+    )
+    if multi_line:
+        return kept.select(*rows.columns)
+    return kept.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -42,30 +60,34 @@ GEOJSON = T.StructType(
         T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
         T.StructField(
             "geometry",
-            T.StructType(
-                [
-                    T.StructField("type", T.StringType()),
-                    T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))),
-                ]
-            ),
+            # The depth of the coordinates depends on the type, so they are read as text first.
+            T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]),
         ),
     ]
 )
 
 
 def read_polygons(spark: SparkSession, path: str, id_property: str, out: str = "pba2_block", collection: bool = False) -> DataFrame:
-    """Block polygons from GeoJSON: id and outer ring.
+    """Block polygons from GeoJSON: id, outer ring of the first part, and all rings of all parts.
 
     One feature per line is the splittable form; ``collection`` reads whole
-    FeatureCollection documents.
+    FeatureCollection documents. Holes and further parts are rings like any
+    other: the even-odd rule of :func:`~gridsurvey.operators.spatial.covers`
+    tells inside from outside.
     """
     if collection:
         whole = T.StructType([T.StructField("features", T.ArrayType(GEOJSON))])
         features = spark.read.schema(whole).option("multiLine", True).json(path).select(F.inline("features"))
     else:
         features = spark.read.schema(GEOJSON).json(path)
-    outer = F.transform(
-        F.element_at("geometry.coordinates", 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    text = F.col("geometry.coordinates")
+    parts = F.when(
+        F.col("geometry.type") == "MultiPolygon", F.flatten(F.from_json(text, "array<array<array<array<double>>>>"))
+    ).otherwise(F.from_json(text, "array<array<array<double>>>"))
+    rings = F.transform(
+        parts, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     )
     block = F.element_at("properties", id_property).cast("int")
-    return features.select(block.alias(out), outer.alias("ring"))
+    return features.select(block.alias(out), rings.alias("rings")).select(
+        out, F.get("rings", F.lit(0)).alias("ring"), "rings"
+    )

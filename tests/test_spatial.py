@@ -36,6 +36,16 @@ def test_crowded_cell_keeps_every_pair(spark):
     assert got.select("id").distinct().count() == got.count() == 3000
 
 
+def test_holes_and_parts(spark):
+    hole = [(0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75), (0.25, 0.25)]
+    part = [(5.0, 0.0), (6.0, 0.0), (6.0, 1.0), (5.0, 0.0)]
+    df = spark.createDataFrame([(1, [SQUARE, hole, part])], "pba2_block int, rings array<array<struct<x: double, y: double>>>")
+    points = {"in": (0.1, 0.1), "hole": (0.5, 0.5), "rim": (0.25, 0.5), "part": (5.9, 0.5), "between": (3.0, 0.5)}
+    places = spark.createDataFrame([(n, x, y) for n, (x, y) in points.items()], "name string, longitude double, latitude double")
+    got = spatial.join_covering(df, places, "pba2_block", 0.5)
+    assert {r.name for r in got.collect()} == {"in", "rim", "part"}
+
+
 def in_hull(points, p):
     """p is outside if all points lie strictly to one side of some line through p."""
     angles = sorted(math.atan2(y - p[1], x - p[0]) for x, y in points if (x, y) != p)

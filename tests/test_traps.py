@@ -249,9 +249,54 @@ def test_taxon_rollup_counts(spark):
     df = spark.createDataFrame(
         [("c", "owl", "species", "3", "C1"), ("c", "owl", "issf", "12", "C4"), ("c", "owl", "form", "X", "C2"),
          ("c", "gull sp.", "spuh", "9", "C1"), ("c", "jay", "species", "X", "C1")], schema)
-    assert rows(prep.roll_up_taxa(df).select("common_name", "observation_count", "breeding_category")) == [
+    assert rows(prep.roll_up_taxa(df, "max").select("common_name", "observation_count", "breeding_category")) == [
         ("jay", "X", "C1"), ("owl", "12", "C4")]
-    assert rows(prep.roll_up_taxa(df, "sum").select("common_name", "observation_count")) == [("jay", "X"), ("owl", "X")]
+    assert rows(prep.roll_up_taxa(df).select("common_name", "observation_count")) == [("jay", "X"), ("owl", "X")]
+
+
+RAW = ("event_id string, group_id string, observer_id string, common_name string, taxon_category string, breeding_code string, "
+       "breeding_category string, observation_date date, time_observations_started string, observation_count string, "
+       "atlas_block string, project_names string")
+
+
+@pytest.mark.parametrize("group", [None, "G1"])
+def test_ingest_keeps_the_confirmed_record(spark, group):
+    """Sub-species rows, code beside category, and codes that blanks would order wrongly."""
+    day = dt.date(2024, 5, 1)
+    made = [("species", " NY ", " C4", "5"), ("issf", "S", "C2", "1"), ("form", "A", "C3 ", "2")]
+    df = spark.createDataFrame([("S1", group, "o", "owl", t, code, c, day, "07:00:00", n, "B", "P") for t, code, c, n in made], RAW)
+    if group is None:
+        got = prep.prepare_sightings(df, start="2020-01-01").select(
+            "checklist_id", "breeding_code", "breeding_category", "observation_count").collect()
+        assert [tuple(r) for r in got] == [("S1", "NY", "C4", "8")]
+    plan = prep.collapse_shared(df)
+    assert plan.count() == (3 if group is None else 1)
+
+
+def test_rows_taken_together(spark):
+    df = spark.createDataFrame(
+        [("c", "owl", "species", "1", "C4", "NY"), ("c", "owl", "issf", "1", "C2", "A"), ("c", "owl", "form", "1", "C0", "0")],
+        "checklist_id string, common_name string, taxon_category string, observation_count string, breeding_category string, breeding_code string")
+    assert rows(prep.roll_up_taxa(df).select("breeding_category", "breeding_code", "observation_count")) == [("C4", "NY", "3")]
+
+
+def test_weighted_sample_takes_all_if_few_have_a_weight(spark):
+    df = spark.range(1000).selectExpr("id", "if(id % 2 = 0, 1.0D, 0.0D) as w")
+    assert sampling.sample_weighted(df, 0.9, "w", ["id"]).count() == 500
+    assert sampling.sample_weighted(df.filter("w = 0"), 0.9, "w", ["id"]).count() == 0
+
+
+def test_survey_zone_skips_hours_only_where_stated():
+    from zoneinfo import ZoneInfo
+
+    from gridsurvey.functions.times import GAP_HOURS
+
+    for name, hours in GAP_HOURS.items():
+        zone, at = ZoneInfo(name), dt.datetime(1900, 1, 1)
+        while at.year < 2038:
+            back = at.replace(tzinfo=zone).astimezone(dt.timezone.utc).astimezone(zone).replace(tzinfo=None)
+            assert back == at or at.hour in hours, at
+            at += dt.timedelta(minutes=30)
 
 
 def test_release_label_and_month_end(spark):
