@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..lookups import SEASONS
 from ..operators import compare, completion, joins, season
 from .joins import NEW_SQL, OLD_SQL, ranks
 from .metrics import HOURS, rounded, summary_frame, with_summary
@@ -106,10 +107,12 @@ def with_mart(body: str) -> str:
     return head.rstrip() + MART_VIEW + body.strip()
 
 
-def mart_frame(spark, sf):
+def mart_frame(spark, sf, *names):
+    """The mart of all seasons, or of the named ones alone: the others are then never computed."""
     x = fx.sightings(spark, sf)
     comparison = compare.compare_blocks(comparison_frame(spark, sf, x))
-    summary, mapped = summary_frame(spark, sf, x), mapped_blocks(spark, sf, x)
+    wanted = {name: SEASONS[name] for name in names or SEASONS}
+    summary, mapped = summary_frame(spark, sf, x, wanted), mapped_blocks(spark, sf, x)
     return season.block_mart(summary, mapped, comparison, fx.blocks(spark, sf)), comparison
 
 
@@ -190,13 +193,13 @@ FROM mart WHERE season = 'All seasons' AND pba3_block IS NOT NULL))"""
     ),
 )
 def completion_table(spark, sf):
-    mart, comparison = mart_frame(spark, sf)
+    mart, comparison = mart_frame(spark, sf, "All seasons")
     return completion.completion_table(mart, comparison, {"coded_species": 50})
 
 
 @query("completion_table_season_matched", with_mart(_completion_sql("pba3_pba2_coded_count_compare_pct")))
 def completion_table_season_matched(spark, sf):
-    mart, _ = mart_frame(spark, sf)
+    mart, _ = mart_frame(spark, sf, "All seasons")
     return completion.completion_table(mart, thresholds={"coded_species": 50}, season_matched=True)
 
 
@@ -216,7 +219,7 @@ _TWO = ("duration_hours_total", "effort_distance_km")
     ),
 )
 def progress_table(spark, sf):
-    mart, _ = mart_frame(spark, sf)
+    mart, _ = mart_frame(spark, sf, "Breeding")
     return rounded(completion.progress_table(mart, "Breeding"), *[c for c in _MART_ROUNDED if c not in _TWO])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..lookups import SEASONS
 from ..operators import daylight, expected, histogram, joins, metrics, reshape, sampling, season, spatial, starttime
 from .registry import query, r6, text, with_views
 
@@ -322,9 +323,9 @@ def with_summary(body: str, *views: str) -> str:
     return head + ",\n" + _season_sql().strip() + "\n" + body.strip()
 
 
-def summary_frame(spark, sf, x=None):
+def summary_frame(spark, sf, x=None, seasons=SEASONS):
     x = fx.sightings(spark, sf) if x is None else x
-    return season.summarize_all_seasons(x, fx.nocturnal_species(spark, sf))
+    return season.summarize_all_seasons(x, fx.nocturnal_species(spark, sf), seasons=seasons)
 
 
 SUMMARY_ROUNDED = ["duration_hours_total", "effort_distance_km", *HOURS]
@@ -691,6 +692,22 @@ def unnest_group(spark, sf):
     return _flat(reshape.unnest(nested.select("pba3_block", "effort_breakdown"), "effort_breakdown"))
 
 
+@query(
+    "season_breakdown",
+    with_views(
+        f"""SELECT season, pba3_block, strftime(observation_datetime, '%Y-%m-%d') AS observation_date, {_hours_sql('duration_hours_', False)}
+FROM labelled GROUP BY 1, 2, 3""",
+        "labelled",
+    ),
+)
+def season_breakdown(spark, sf):
+    """The hours by date inside the summary of all seasons."""
+    nested = summary_frame(spark, sf).filter("effort_breakdown is not null").select("season", "pba3_block", F.inline("effort_breakdown"))
+    return nested.select(
+        "season", "pba3_block", F.col("observation_date").cast("string").alias("observation_date"), *[r6(c).alias(c) for c in HOURS]
+    )
+
+
 @query(
     "nest_group",
     with_views(
