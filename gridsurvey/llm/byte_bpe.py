@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import base64
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pieces a task remembers before it starts anew, and the longest piece worth remembering.
-CACHED_PIECES, CACHED_CHARS = 150_000, 40
+#: Pieces a task remembers before it starts anew (about 100 MB), and the longest piece worth remembering.
+CACHED_PIECES, CACHED_CHARS = 400_000, 40
 
 
 def byte_characters() -> list[str]:
@@ -90,8 +91,8 @@ class Encoder:
             self.known.clear()
         known = self.known
         new = list({p for pieces in split for p in pieces if p not in known})
-        ids = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(
-            new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        found = self.model.encode_batch_fast(new, add_special_tokens=False)
+        ids = {p: struct.pack(f"<{len(i)}I", *i) for p, i in zip(new, (e.ids for e in found), strict=True)}
         known.update(ids)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         for p in ids:
