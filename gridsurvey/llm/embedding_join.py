@@ -34,7 +34,7 @@ from .components import forest, link_classes
 
 THRESHOLD = 0.9
 #: Share of pairs right at the threshold that meet in a table; closer pairs meet more often.
-RECALL = 0.95
+RECALL = 0.98
 #: Standard errors that an estimate may lie too low.
 ERRORS = 4.0
 #: Coordinates are added to the buckets until an average one has at most so many vectors.
