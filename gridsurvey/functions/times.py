@@ -47,7 +47,10 @@ def wall_clock(day: Column, time_of_day: Column, tz: str = SURVEY_TZ) -> Column:
     parsed = F.when(complete, text.try_cast("timestamp_ntz"))
     hours = GAP_HOURS.get(tz)
     # The way to UTC and back costs more than the parsing, so it is left to the rows a gap can hold.
-    exists = exists_on_clock(parsed, tz) if hours is None else ~F.hour(parsed).isin(*hours) | exists_on_clock(parsed, tz)
+    exists = exists_on_clock(parsed, tz)
+    if hours is not None:
+        # Told from the text: the parsed time would be computed once more for every use of it.
+        exists = ~time_of_day.rlike(r"^\s*0?(?:" + "|".join(map(str, hours)) + "):") | exists
     return F.when(exists, parsed)
 
 
