@@ -200,7 +200,7 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     several = blocks.filter("n_blocks > 1").withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     paired = several.groupBy("table", "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).agg(
-        F.collect_list("members").alias("parts"))
+        F.collect_list("members").alias("parts")).filter("i = j or size(parts) = 2")  # not a block with an empty one
     checked = staged(single.union(paired.select("table", "parts")).mapInArrow(
         lambda it: _compare(it, threshold, errors), "node binary, n_links bigint, root binary"), "vector_links")
     return link_classes(keyed.select("doc_id", "node"), sets, checked).select(

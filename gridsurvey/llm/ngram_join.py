@@ -152,7 +152,8 @@ def _check_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
 def _units(members: DataFrame) -> DataFrame:
     """Rows of one block, or of two blocks of the same part: every two members of a part meet in one row.
 
-    A part of b blocks sends each of its blocks to b rows.
+    A part of b blocks sends each of its blocks to b rows. Blocks are dealt by
+    a hash and may be empty; a block that meets an empty one makes no row.
     """
     blocks = members.groupBy("part", "n_blocks", "block").agg(
         F.collect_list(F.struct("node", "weight", "grams")).alias("members"))
@@ -160,7 +161,7 @@ def _units(members: DataFrame) -> DataFrame:
     several = blocks.filter("n_blocks > 1").withColumn(
         "other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
     paired = several.groupBy("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
-        F.collect_list("members").alias("parts"))
+        F.collect_list("members").alias("parts")).filter("i = j or size(parts) = 2")
     return single.union(paired.select("parts"))
 
 

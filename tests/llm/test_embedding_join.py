@@ -47,6 +47,14 @@ def test_same_as_all_pairs(spark, bucket, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_blocks_without_members(spark):
+    """As many blocks as vectors, so that some are empty: links are still counted once."""
+    df = spark.createDataFrame([(i, v, 1, "clash") for i, v in vectors()], SCHEMA)
+    got = ej.near_vectors(df, recall=0.9999, block=1).collect()
+    stored = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert sorted(((r.vec_id, r.component_id, r.n_links) for r in got), key=str) == brute(stored)
+
+
 def test_estimates_are_unbiased_and_bounded():
     r = np.random.default_rng(3)
     x, y = r.normal(size=(2, 1500, 64))

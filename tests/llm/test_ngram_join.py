@@ -54,6 +54,15 @@ def test_same_as_all_pairs(spark, block_sets):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_blocks_without_members(spark):
+    """Two long near copies have more blocks than members; those in one block are still linked once."""
+    rows = [(10 * k + i, t) for k in range(20) for i, t in enumerate(chain(100 + k, 2))]
+    docs = spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], SCHEMA)
+    got = ngram_join.near_duplicates(docs, block_grams=40).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)
+    assert any(r.n_links for r in got)
+
+
 def test_drop(spark):
     docs = spark.createDataFrame([(i, t, "clash", 0) for i, t in ROWS], SCHEMA)
     out = ngram_join.drop_near_duplicates(docs)
