@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ngram_join
+from .common import staged
+
 CAPACITY = 2048
 SHARD_DOCUMENTS = 4096
 
@@ -101,5 +104,23 @@ def word_count(text: Column) -> Column:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pack`` for a table of documents: lengths in words, equal texts as clusters."""
+    """``pack`` for a table of documents without near copies: lengths in words, equal texts as clusters."""
     return pack(docs, word_count(F.col("text")), F.col("source"), F.xxhash64("text"), capacity=capacity)
+
+
+def pack_near_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``pack`` for any table of documents: lengths in words, classes of near duplicates as clusters.
+
+    A text that is linked with no other, as one without words, is in a cluster
+    with those equal to it but for the case of A to Z. A null id and an id that
+    several texts carry are told apart by the text.
+    """
+    text = F.col("text")
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text")))
+    near = ngram_join.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
+    classes = near.filter("n_links > 0").select(F.col("doc_id").alias("key"), F.xxhash64("class_id").alias("class")).distinct()
+    same = F.xxhash64(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    facts = docs.select("doc_id", key.alias("key"), word_count(text).alias("length"), "source", same.alias("same"))
+    clustered = staged(facts.join(classes, "key", "left").select(
+        "doc_id", "length", "source", F.coalesce("class", "same").alias("cluster")), "clusters")
+    return pack(clustered, F.col("length"), F.col("source"), F.col("cluster"), capacity=capacity)

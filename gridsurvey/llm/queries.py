@@ -52,7 +52,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"))
+    return packing.pack_near_documents(read(spark, sf_dir, "documents"))
 
 
 @query("op7_byte_bpe")

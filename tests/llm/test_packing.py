@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from gridsurvey.llm import packing, queries
+from gridsurvey.llm import ngram_join, packing, queries
 
 
 def slow(rows, capacity):
@@ -73,6 +73,33 @@ def test_edge_rows(spark):
     assert packing.pack_documents(twice.limit(0)).count() == 0
 
 
+def test_near_copies_lie_apart(spark, small):
+    """No bin of the query holds two members of one class of near duplicates."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    classes = {r.doc_id: r.class_id for r in ngram_join.near_duplicates(docs).collect()}
+    names = {d.doc_id: d.text.lower() for d in docs.collect()}
+    bins = defaultdict(list)
+    for r in queries.QUERIES["op6_packing"](spark, small).collect():
+        if r.bin_id is not None:
+            bins[r.bin_id].append(r.doc_id)
+    for held in bins.values():
+        assert len({classes[i] for i in held}) == len({names[i] for i in held}) == len(held)
+
+
+def test_near_copies_of_other_sources(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (0, 1, 58, 59)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate([*near, near[0].upper(), "...", "..."])] + [(None, near[1], None), (0, "a b c", "s9")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = packing.pack_near_documents(docs).collect()
+    assert len(got) == len(rows)
+    held = defaultdict(list)
+    for r in got:
+        held[r.bin_id].append((r.doc_id, r.length))
+    assert all(sum(n == 60 for _, n in b) <= 1 and not {(5, 1), (6, 1)} <= set(b) for b in held.values())
+    assert packing.pack_near_documents(docs.limit(0)).count() == 0
+
+
 def test_whole_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     rows = queries.QUERIES["op6_packing"](spark, small).collect()
