@@ -7,15 +7,16 @@ zero, and is kept if the sum surges somewhere in it.
 
 The distribution alone cannot tell an advert of one long sentence from a
 paragraph beside it, so elements that by tag, role or class are no article
-(menus, footers, forms, adverts, comments) become empty lines first, and an
-``article`` or ``main`` element, where a page has one, bounds the regions.
+(menus, footers, forms, adverts, comments) become empty lines first. Role and
+class never drop an ``article`` or ``main`` element or what holds one. Where a
+page has such an element, all its lines are the text and none around it.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,40 @@ OUTER_MARKS = frozenset("header masthead topbar".split())
 _ENDS_ITSELF = {"p": BLOCKS, "li": frozenset(["li", "ul", "ol"]), "dt": frozenset(["dt", "dd", "dl"]), "dd": frozenset(["dt", "dd", "dl"])}
 
 
-def _is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
+def _named(token: re.Match) -> tuple[str, bool]:
+    """The tag of a token, empty for comments and raw elements, and whether it ends an element."""
+    return (token["tag"] or token["tag2"] or "").lower(), bool(token["end"] or token["end2"])
+
+
+def _holders(tokens: list[re.Match]) -> set[int]:
+    """Numbers of the start tags whose element, by the rules that skipping follows, holds an article or main."""
+    ends = [len(tokens)] * len(tokens)
+    opened: dict[str, list[int]] = {}
+    for j, token in enumerate(tokens):
+        tag, ending = _named(token)
+        if not tag or tag in VOID and tag != "hr":
+            continue
+        over = [t for t, by in _ENDS_ITSELF.items() if opened.get(t) and tag in by and not (tag == t and ending)]
+        if tag == "body" or ending and tag == "html":
+            over = list(opened)
+        for t in over:
+            for i in opened.pop(t, ()):
+                ends[i] = j
+        if not ending:
+            opened.setdefault(tag, []).append(j)
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = j
+    found, content = set(), len(tokens)
+    for i in range(len(tokens) - 1, -1, -1):
+        if content < ends[i]:
+            found.add(i)
+        tag, ending = _named(tokens[i])
+        if tag in CONTENT and not ending:
+            content = i
+    return found
+
+
+def _is_boilerplate(tag: str, attributes: str, in_content: bool, holds: Callable[[], bool]) -> bool:
     if tag in ("html", "body"):
         return False
     if tag in NEVER or tag == "header" and not in_content:
@@ -73,7 +107,8 @@ def _is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
                 return True
         else:
             words = {w.lower() for w in _SPLIT.split(value)}
-            if words & MARKS or not in_content and tag not in CONTENT and words & OUTER_MARKS:
+            marked = words & MARKS or not in_content and words & OUTER_MARKS
+            if marked and tag not in CONTENT and not holds():
                 return True
     return False
 
@@ -104,15 +139,23 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if not links:
             outside_links += len(text) - sum(map(text.count, " \n\t\r"))
 
+    tokens = list(_TOKEN.finditer(page))
+    holders: set[int] | None = None
+
+    def holds() -> bool:
+        nonlocal holders
+        if holders is None:
+            holders = _holders(tokens)
+        return number in holders
+
     at = 0
-    for token in _TOKEN.finditer(page):
+    for number, token in enumerate(tokens):
         if not skipped and token.start() > at:
             add(page[at : token.start()])
         at = token.end()
-        tag = (token["tag"] or token["tag2"] or "").lower()
+        tag, ending = _named(token)
         if not tag:
             continue
-        ending = bool(token["end"] or token["end2"])
         if skipped:
             ended = tag in _ENDS_ITSELF.get(skipped, ()) and not (tag == skipped and ending)
             if tag == skipped and not ended:
@@ -140,7 +183,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in VOID and tag != "hr":
             continue
-        if _is_boilerplate(tag, token["attributes"] or "", content > 0):
+        if _is_boilerplate(tag, token["attributes"] or "", content > 0, holds):
             if tag in BLOCKS:
                 close()
             if not content:
@@ -164,10 +207,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The text between surge and dive, one line per block."""
+    """The lines of articles and main elements, or else the text between surge and dive, one line per block."""
     lines = page_lines(page or "")
     if any(inside for _, _, inside in lines):
-        lines = [line if line[2] else ("", 0, False) for line in lines]
+        return "\n".join(text for text, _, inside in lines if inside and text)
     weights = np.array([w for _, w, _ in lines], np.int64)
     if not weights.any():
         return ""

@@ -95,6 +95,26 @@ def test_pages(page, text):
         assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='content-sidebar-wrap'><main><p>{LONG}</main></div><div class=sidebar><p>{LONG}</div>", LONG.strip()),
+    (f"<div id=page class='no-sidebar'><div class=widget>{LONG}</div><article><p>{LONG}</article></div>", LONG.strip()),
+    (f"<main class='search-results'><p>{LONG}</main>", LONG.strip()),
+    (f"<article class='post comments-open'><p>{LONG}<div class=comments><p>{LONG}</div></article>", LONG.strip()),
+    (f"<ul class=menu><li class=widget><article><p>{LONG}</article></ul><p class=ad>{LONG}", LONG.strip()),
+    (f"<div class=ad><div>{LONG}</div></div><div class=sidebar>{LONG}</div><main><p>Text</main>", "Text"),
+    # link-only lines inside an article are part of it, and so is a short tail
+    (f"<article><p>{LONG}" + "".join(f"<p><a href='/{i}'>Source {i}</a>" for i in range(5)) + "<p>End.</article>",
+     "\n".join([LONG.strip(), *[f"Source {i}" for i in range(5)], "End."])),
+])
+def test_articles_stay_whole(page, text):
+    assert main_text(page) == text
+
+
+def test_marked_wrappers_in_linear_time():
+    assert main_text("<div class=sidebar>" * 20_000 + f"<main><p>{LONG}</main>") == LONG.strip()
+    assert main_text("<li class=widget>" * 20_000) == ""
+
+
 def test_long_and_hostile_pages():
     assert main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
     for page in ("<" * 20_000, "<a href=\"" * 5_000, "&" * 20_000, "<div>" * 20_000 + "x", "<!--" * 20_000):
