@@ -61,10 +61,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = byte_bpe.encode(
-        read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, offsets=False)
-    # The ids travel with the document through the decoder, under its id.
+        read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    # The ids travel with the document through the decoder, under its id; of the offsets only the digest does.
     tagged = ids.select(F.struct("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                                 F.sha2("ids", 256).alias("ids_sha256")).alias("doc"), "ids")
+                                 F.sha2("ids", 256).alias("ids_sha256"),
+                                 F.sha2(F.concat("starts", "ends"), 256).alias("offsets_sha256")).alias("doc"), "ids")
     return byte_bpe.decode(tagged, ranks, id_col="doc").select(
         "doc_id.*", F.sha2("data", 256).alias("decoded_sha256"))
 

@@ -72,6 +72,21 @@ def test_query_round_trip(spark, small, reference):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_query_offsets(spark, small, reference):
+    """The digest over first characters and ends of all tokens, found from the bytes of each token."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in queries.QUERIES["op7_byte_bpe"](spark, small).collect():
+        text, at, starts, ends = texts[r.doc_id], 0, [], []
+        owner = [k for k, c in enumerate(text) for _ in c.encode()]
+        for i in reference.encode_ordinary(text):
+            n = len(reference.decode_single_token_bytes(i))
+            starts.append(owner[at])
+            ends.append(owner[at + n - 1] + 1)
+            at += n
+        packed = np.asarray(starts, "<u4").tobytes() + np.asarray(ends, "<u4").tobytes()
+        assert r.offsets_sha256 == hashlib.sha256(packed).hexdigest()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
