@@ -16,6 +16,7 @@ from . import (
     packing,
     quotes,
     toxicity,
+    turn_repair,
 )
 from .common import fold, read
 from .registry import QUERIES, SQL, query
@@ -144,3 +145,9 @@ FROM conversations m LEFT JOIN roots r USING (conv_id, turn) LEFT JOIN parents p
 LEFT JOIN counts c USING (conv_id, turn) LEFT JOIN own o USING (conv_id, turn)""")
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(read(spark, sf_dir, "conversations")).drop("unlinked")
+
+
+@query("op12_turn_repair")
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.repair_conversations(turn_repair.damaged(turns), turns)
