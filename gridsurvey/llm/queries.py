@@ -14,6 +14,7 @@ from . import (
     line_dedup,
     ngram_join,
     packing,
+    prefix_trie,
     quotes,
     toxicity,
     turn_repair,
@@ -147,6 +148,42 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(read(spark, sf_dir, "conversations")).drop("unlinked")
 
 
+@query("op11_prefix_trie", sql="""
+WITH ordered AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, length(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce([4294967295] || flatten(list_transform(
+      string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered)),
+heads AS (SELECT c.conv_id, o.i AS depth, key, chars FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.i <= c.h),
+sizes AS (SELECT conv_id, count(*) AS n FROM heads GROUP BY conv_id),
+turns AS (
+  FROM heads UNION ALL SELECT conv_id, i - h + coalesce(n, 0), key, chars
+  FROM ordered JOIN convs USING (conv_id) LEFT JOIN sizes USING (conv_id) WHERE i > h),
+prefixes AS (
+  SELECT conv_id, depth, chars, list(key) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, [] FROM convs),
+named AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM prefixes),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM named GROUP BY path, depth),
+linked AS (SELECT n.*, p.path AS parent FROM nodes n LEFT JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+children AS (SELECT parent AS path, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY parent),
+counted AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (path)),
+below AS (
+  SELECT a.path, sum((u.n_convs - 1) * u.chars)::BIGINT AS saved_tokens, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves
+  FROM counted u JOIN prefixes a ON a.conv_id = u.conv_id AND a.depth <= u.depth GROUP BY a.path)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, b.n_leaves, b.saved_tokens, c.ends_sha256
+FROM counted c JOIN below b USING (path) LEFT JOIN nodes p ON p.path = c.parent AND c.depth > 0""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 @query("op12_turn_repair")
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
