@@ -16,6 +16,7 @@ from . import (
     packing,
     prefix_trie,
     quotes,
+    substring_dedup,
     toxicity,
     turn_repair,
 )
@@ -188,3 +189,20 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return turn_repair.repair_conversations(turn_repair.damaged(turns), turns)
+
+
+@query("op13_substring_dedup", sql=r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM texts),
+placed AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(words[s:s + 19], ' ') ORDER BY doc_id, s) AS n FROM starts),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM placed WHERE n > 1),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+  FROM (SELECT doc_id, generate_subscripts(words, 1) AS pos, unnest(words) AS word FROM texts) ANTI JOIN gone USING (doc_id, pos)
+  GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)""")
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeated_passages(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
