@@ -258,24 +258,23 @@ def set_union_tagged(spark, sf):
 @query(
     "join_complete_keys",
     with_views(
-        """SELECT b.pba3_block, coalesce(n, 0) AS nocturnal_species_coded FROM (SELECT DISTINCT pba3_block FROM sightings ) b
-LEFT JOIN (SELECT pba3_block, count(DISTINCT common_name) AS n FROM sightings 
-  WHERE breeding_rank >= 4 AND common_name IN (SELECT common_name FROM nocturnal WHERE length(common_name) > 12)
-    AND pba3_block NOT IN (SELECT pba3_block FROM blocks )
-  GROUP BY 1) c ON b.pba3_block IS NOT DISTINCT FROM c.pba3_block""",
+        """SELECT season, pba3_block, count(DISTINCT common_name) AS nocturnal_species_coded FROM
+  (SELECT season, s.pba3_block, CASE WHEN breeding_rank >= 4 AND common_name IN (SELECT common_name FROM nocturnal )
+     THEN common_name END AS common_name
+   FROM sightings s JOIN seasons ON observation_month = month) GROUP BY 1, 2""",
         "sightings",
+        "seasons",
         "nocturnal",
-        "blocks",
     ),
 )
 def join_complete_keys(spark, sf):
-    """Listed species confirmed in blocks without a name; every other block has none."""
-    x = fx.sightings(spark, sf)
-    listed = fx.nocturnal_species(spark, sf).filter("length(common_name) > 12")
-    unnamed = x.join(fx.blocks(spark, sf), "pba3_block", "left_anti").filter("pba3_block is not null")
-    some = joins.keep_species(unnamed, listed).filter("breeding_rank >= 4")
-    counted = metrics.calc_species_observed(some).withColumnRenamed("species_observed", "nocturnal_species_coded")
-    return joins.complete_keys(counted, x, ["pba3_block"], {"nocturnal_species_coded": 0})
+    """Listed species confirmed, for every season and block with sightings."""
+    x = joins.fan_out_seasons(fx.sightings(spark, sf))
+    keys = ["season", "pba3_block"]
+    confirmed = x.filter("breeding_rank >= 4")
+    some = joins.keep_species(confirmed, fx.nocturnal_species(spark, sf)).select(*keys, "common_name").distinct()
+    counted = some.groupBy(*keys).agg(F.count("*").alias("nocturnal_species_coded"))
+    return joins.complete_keys(counted, x, keys, {"nocturnal_species_coded": 0})
 
 
 _COMPARED = """(SELECT pba3_block, sum(duration_minutes)/60 AS h1, sum(effort_distance_km) AS k1 FROM

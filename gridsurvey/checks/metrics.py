@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..lookups import SEASONS
-from ..operators import daylight, expected, histogram, joins, metrics, reshape, sampling, season, spatial, starttime
+from ..operators import daylight, expected, histogram, joins, metrics, month_cube, reshape, sampling, season, spatial, starttime
+from ..session import scratch_path
 from .registry import query, r6, text, with_views
 
 HOURS = ["duration_hours_diurnal", "duration_hours_nocturnal", "duration_hours_unknown"]
@@ -345,6 +346,20 @@ def summarize_all_seasons(spark, sf):
     return rounded(df, *SUMMARY_ROUNDED)
 
 
+@query("summarize_all_seasons_cube", with_summary("SELECT * FROM summary"))
+def summarize_all_seasons_cube(spark, sf):
+    """The same from the cube of months, over a table bucketed by checklist."""
+    def kept(name, df):
+        path = scratch_path(spark, f"cube_{name}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    cube = month_cube.build_cube(fx.bucketed_sightings(spark, sf), keep=kept)
+    df = month_cube.seasons_of_cube(cube, fx.nocturnal_species(spark, sf))
+    df = df.withColumn("dates", F.array_size("effort_breakdown").cast("bigint")).drop("effort_breakdown")
+    return rounded(df, *SUMMARY_ROUNDED)
+
+
 @query(
     "summarize_effort",
     with_views(

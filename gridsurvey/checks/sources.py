@@ -128,6 +128,39 @@ def src_polygons(spark, sf):
     )
 
 
+@query(
+    "sink_polygons",
+    with_views(
+        """SELECT pba2_block::INTEGER AS pba2_block, CASE WHEN pba2_block % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS n_rings,
+  x0 AS xmin, CASE WHEN pba2_block % 2 = 0 THEN x1 + 100 ELSE x1 END AS xmax,
+  pba2_block % 2 = 0 AS middle_covered, FALSE AS second_middle_covered, pba2_block % 2 = 0 AS second_rim_covered
+FROM polygons""",
+        "polygons",
+    ),
+)
+def sink_polygons(spark, sf):
+    """Squares written and read back: odd ones with a hole, even ones with a second part that has one."""
+    path = scratch_path(spark, "written_polygons")
+    corner = F.element_at("ring", 1)
+    square = lambda x, y, side: F.array(*[
+        F.struct((x + dx * side).alias("x"), (y + dy * side).alias("y")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    whole, hole = square(corner.x, corner.y, 0.5), square(corner.x + 0.125, corner.y + 0.125, 0.25)
+    far = square(corner.x + 100, corner.y, 0.5), square(corner.x + 100.125, corner.y + 0.125, 0.25)
+    odd = F.col("pba2_block") % 2 == 1
+    # The hole comes before its outline, so that their order tells nothing.
+    blocks = fx.polygons(spark, sf).select("pba2_block", F.when(odd, F.array(hole, whole)).otherwise(F.array(far[1], whole, far[0])).alias("rings"))
+    writers.write_polygons(blocks, path, "BLOCK_ID")
+    df = readers.read_polygons(spark, path, "BLOCK_ID")
+    points = F.flatten("rings")
+    boxed = df.withColumns({
+        "xmin": F.array_min(F.transform(points, lambda p: p.x)), "xmax": F.array_max(F.transform(points, lambda p: p.x)),
+        "y": F.array_min(F.transform(points, lambda p: p.y)) + 0.25})
+    inside = lambda dx: covers(F.col("rings"), F.col("xmin") + dx, F.col("y"))
+    return boxed.select(
+        "pba2_block", F.size("rings").cast("bigint").alias("n_rings"), "xmin", "xmax", inside(0.25).alias("middle_covered"),
+        inside(100.25).alias("second_middle_covered"), inside(100.0625).alias("second_rim_covered"))
+
+
 @query(
     "sink_parquet",
     with_views(

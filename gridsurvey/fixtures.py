@@ -15,7 +15,9 @@ from .functions.categories import description_of_rank
 from .lookups import WEEKS
 from .operators.prep import with_rank
 from .operators.reshape import pivot_fixed
+from .session import scratch_path
 from .sources.readers import read_parquet
+from .sources.writers import write_bucketed
 
 _SCHEMAS: dict[str, StructType] = {}
 
@@ -91,6 +93,12 @@ def sightings(spark: SparkSession, sf_dir: str, species: bool = True, ranked: bo
     return with_rank(df) if ranked else df
 
 
+def bucketed_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sightings written once in buckets of checklists, as the refresh keeps them."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return write_bucketed(sightings(spark, sf_dir), scratch_path(spark, "sightings"), "checklist_id", buckets)
+
+
 def raw_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as they come from the source: copies of shared checklists, sub-species, untrimmed codes."""
     order, line, supp, quantity = (F.col(c) for c in ("o_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))

@@ -67,6 +67,29 @@ def covers(rings: Column, x: Column, y: Column) -> Column:
     return F.exists(edges, on_edge) | (F.size(F.filter(edges, crosses)) % 2 == 1)
 
 
+def _area(ring: Column) -> Column:
+    return F.abs(F.aggregate(_ring_edges(ring), F.lit(0.0), lambda sum_, e: sum_ + e.x1 * e.y2 - e.x2 * e.y1)) / 2
+
+
+def ring_parts(rings: Column) -> Column:
+    """Rings as parts: an array of arrays whose first ring is an outline and whose others are its holes.
+
+    A ring is inside another if its area is smaller and all its vertices are in
+    the other or on its boundary.
+    """
+    numbered = F.transform(rings, lambda r, i: F.struct(i.alias("i"), r.alias("ring"), _area(r).alias("area")))
+
+    def around(r: Column) -> Column:
+        return F.filter(numbered, lambda o: (o.area > r.area) & F.forall(r.ring, lambda p: covers(F.array(o.ring), p.x, p.y)))
+
+    nested = F.transform(numbered, lambda r: F.struct(
+        r.i.alias("i"), r.ring.alias("ring"), (F.size(around(r)) % 2 == 1).alias("hole"),
+        F.array_min(F.transform(around(r), lambda o: F.struct(o.area, o.i))).getField("i").alias("of")))
+    outlines = F.filter(nested, lambda r: ~r.hole)
+    return F.transform(outlines, lambda o: F.concat(
+        F.array(o.ring), F.transform(F.filter(nested, lambda h: h.hole & (h.of == o.i)), lambda h: h.ring)))
+
+
 def join_covering(
     polygons: DataFrame,
     points: DataFrame,

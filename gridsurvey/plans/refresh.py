@@ -3,22 +3,31 @@
 Every table that more than one later step reads is written once and read
 back, so a lost executor costs the tasks of one step and each step scans only
 its own columns. Steps are ordinary writes of lazy plans; nothing is collected.
+
+A refresh writes a version of its own and publishes it with its last step, so
+readers never see tables of two generations. The sightings are kept in buckets
+of checklists within folders of months: start votes, places and efforts need no
+exchange, and a season reads its own folders.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..lookups import BLOCK_OVERRIDES, SURVEY_START, SURVEY_TZ, season_table
 from ..operators import compare, completion, expected, spatial
 from ..operators.daylight import daylight_table
 from ..operators.prep import prepare_sightings, with_rank
-from ..operators.season import block_mart, summarize_all_seasons
+from ..operators.month_cube import MONTH, build_cube, seasons_of_cube
+from ..operators.season import block_mart
 from ..operators.starttime import fixed_start_times
-from ..sources.readers import read_parquet
-from ..sources.writers import write_parquet
+from ..sources.readers import read_text_scalar
+from ..sources.writers import write_bucketed, write_parquet, write_text_scalar
 
 
 @dataclass
@@ -42,19 +51,26 @@ def refresh(
     cell: float = 0.125,
     overrides: dict[str, int] = BLOCK_OVERRIDES,
     tz: str = SURVEY_TZ,
+    buckets: int | None = None,
 ) -> dict[str, str]:
-    """Write all tables of a refresh under ``out``; returns their paths by name."""
+    """Write all tables of a refresh in a new folder under ``out`` and publish it; returns their paths by name.
+
+    ``buckets``: of the sightings; by default as many as shuffle partitions.
+    """
     paths: dict[str, str] = {}
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    base = f"{out}/versions/{version}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def stage(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        paths[name] = f"{out}/{name}"
+        paths[name] = f"{base}/{name}"
         write_parquet(df, paths[name], partition_by)
-        return read_parquet(spark, paths[name])
+        return spark.read.schema(df.schema).parquet(paths[name])
 
     stage("seasons", season_table(spark))
     prepared = prepare_sightings(inputs.raw, project, start, release, tz)
-    # by month: a season's filter then prunes folders
-    sightings = with_rank(stage("sightings", prepared, ["observation_month"]))
+    paths["sightings"] = f"{base}/sightings"
+    sightings = with_rank(write_bucketed(prepared, paths["sightings"], "checklist_id", buckets, ["observation_month"]))
     stage("daylight", daylight_table(sightings, tz))
 
     new = compare.new_ranks(sightings)
@@ -63,11 +79,21 @@ def refresh(
     block_pairs = stage("block_comparison", compare.compare_blocks(pairs))
 
     fixed = stage("fixed_starts", fixed_start_times(sightings))
-    summary = stage("season_summary", summarize_all_seasons(sightings, inputs.nocturnal, fixed, tz=tz))
+    by_month = ("labelled", "effort", "species", "observers")
+    cube = build_cube(sightings, fixed, tz=tz, keep=lambda name, df: stage(f"cube_{name}", df, [MONTH] if name in by_month else None))
+    summary = stage("season_summary", seasons_of_cube(cube, inputs.nocturnal))
     mapped = stage("block_map", spatial.block_map(inputs.polygons, spatial.hull_centers(sightings), cell, overrides))
     mart = stage("block_mart", block_mart(summary, mapped, block_pairs, inputs.blocks))
     stage("completion", completion.completion_table(mart, block_pairs))
 
     rates = stage("expected_species", expected.species_observed_pct(sightings))
     stage("expected_species_shrunk", expected.shrink_rates(rates))
+    names = spark.createDataFrame([(version,)], "value string")
+    write_text_scalar(names, f"{out}/published/{version}")
     return paths
+
+
+def published(spark: SparkSession, out: str) -> str:
+    """The folder of the last version that was written to its end."""
+    version = read_text_scalar(spark, f"{out}/published/*")
+    return f"{out}/versions/{version.agg(F.max(version.columns[0])).first()[0]}"

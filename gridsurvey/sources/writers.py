@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from hashlib import md5
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spatial import ring_parts
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
@@ -27,10 +31,50 @@ def write_text_scalar(df: DataFrame, path: str) -> None:
 
 
 def write_polygons(df: DataFrame, path: str, id_property: str) -> None:
-    """(pba2_block, ring) as one GeoJSON feature per line."""
-    ring = F.transform("ring", lambda p: F.array(p.x, p.y))
-    df.select(
-        F.lit("Feature").alias("type"),
-        F.struct(F.col("pba2_block").cast("string").alias(id_property)).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
-    ).write.mode("overwrite").json(path)
+    """(pba2_block, ring or rings) as one GeoJSON feature per line.
+
+    A ring inside an odd number of other rings is a hole of the smallest of
+    them, every other ring is a part of its own; one part makes a polygon,
+    several make a multipolygon. Rings that only touch are not nested.
+    """
+    rings = F.col("rings") if "rings" in df.columns else F.array("ring")
+    parts = df.withColumn("parts", ring_parts(rings))
+    points = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.array(p.x, p.y))))
+    single = F.size("parts") == 1
+    # One struct type cannot hold both depths of coordinates, so the geometry is written as text.
+    geometry = F.when(single, F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get(points, 0).alias("coordinates")))).otherwise(
+        F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), points.alias("coordinates"))))
+    properties = F.to_json(F.struct(F.col("pba2_block").cast("string").alias(id_property)))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), geometry, F.lit("}"))
+    parts.select(feature.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written under ``path`` in buckets of ``key``, sorted by it, and read back by its bucketing.
+
+    Grouping and joining by the key then need no exchange. One shuffle brings
+    each bucket into one file, or one for each folder of ``partition_by``.
+    """
+    name = _table_name(path)
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, key: str, buckets: int, partition_by: list[str] | None = None) -> DataFrame:
+    """A table of ``write_bucketed`` in another session; the catalog of a session forgets how files are bucketed."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    name = _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    folders = f"PARTITIONED BY ({', '.join(partition_by)}) " if partition_by else ""
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') {folders}CLUSTERED BY ({key}) INTO {buckets} BUCKETS")
+    if partition_by:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return f"bucketed_{md5(path.encode()).hexdigest()}"

@@ -10,8 +10,9 @@ from gridsurvey.checks import QUERIES
 from gridsurvey.operators import compare, season
 from gridsurvey.operators.metrics import calc_checklist_count
 from gridsurvey.operators.prep import with_rank
-from gridsurvey.plans.refresh import Inputs, refresh
+from gridsurvey.plans.refresh import Inputs, published, refresh
 from gridsurvey.sources import readers, writers
+from gridsurvey.sources.writers import open_bucketed
 
 
 def rows(df):
@@ -130,3 +131,10 @@ def test_refresh_writes_every_table(spark, small, tmp_path):
     assert read["block_mart"].select("pba2_block").distinct().count() >= 5
     assert read["expected_species_shrunk"].filter("`.fitted` is null").count() == 0
     assert read["completion"].count() > 0
+    # One version, published last; its sightings are found by their buckets in another session's catalog, too.
+    assert {path.rsplit("/", 1)[0] for path in paths.values()} == {published(spark, str(tmp_path))}
+    again = open_bucketed(spark, paths["sightings"], "checklist_id", 4, ["observation_month"])
+    assert rows(again.select("checklist_id", "common_name", "observation_month")) == rows(
+        sightings.select("checklist_id", "common_name", "observation_month"))
+    (tmp_path / "versions" / "99999999999999999999-unfinished").mkdir()
+    assert {path.rsplit("/", 1)[0] for path in paths.values()} == {published(spark, str(tmp_path))}

@@ -27,8 +27,20 @@ def test_no_cross_join_and_no_python_in_hot_paths(spark, small, name):
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-    if name not in ("block_mart", "completion_table"):  # these hold the hull of at most 1000 points per block
-        assert "FlatMapGroupsInPandas" not in text
+    assert "FlatMapGroupsInPandas" not in text
+
+
+def test_mart_over_buckets_moves_no_checklists(spark, small, monkeypatch):
+    """Over sightings bucketed by checklist nothing is dealt out by checklist again, and a quarter of the exchanges goes."""
+    def exchanges(df):
+        return [line for line in plan(df, "simple").splitlines() if "Exchange hashpartitioning" in line]
+
+    before = exchanges(QUERIES["block_mart"](spark, small))
+    held = fx.bucketed_sightings(spark, small)
+    monkeypatch.setattr(fx, "sightings", lambda *a, **b: held)
+    after = exchanges(QUERIES["block_mart"](spark, small))
+    assert any("checklist_id" in line for line in before) and not any("checklist_id" in line for line in after)
+    assert len(after) <= 0.8 * len(before)
 
 
 def test_season_filter_prunes_folders_and_columns(spark, small):
