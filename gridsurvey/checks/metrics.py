@@ -17,6 +17,13 @@ def _effort(spark, sf):
     return fx.sightings(spark, sf, species=False)
 
 
+def _kept(spark, name, df):
+    """Rows that several steps read, written once."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rounded(df, *names):
     return df.withColumns({n: r6(n) for n in names})
 
@@ -349,12 +356,7 @@ def summarize_all_seasons(spark, sf):
 @query("summarize_all_seasons_cube", with_summary("SELECT * FROM summary"))
 def summarize_all_seasons_cube(spark, sf):
     """The same from the cube of months, over a table bucketed by checklist."""
-    def kept(name, df):
-        path = scratch_path(spark, f"cube_{name}")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    cube = month_cube.build_cube(fx.bucketed_sightings(spark, sf), keep=kept)
+    cube = month_cube.build_cube(fx.bucketed_sightings(spark, sf), keep=lambda name, df: _kept(spark, f"cube_{name}", df))
     df = month_cube.seasons_of_cube(cube, fx.nocturnal_species(spark, sf))
     df = df.withColumn("dates", F.array_size("effort_breakdown").cast("bigint")).drop("effort_breakdown")
     return rounded(df, *SUMMARY_ROUNDED)
@@ -489,6 +491,91 @@ def eb_shrinkage_totals(spark, sf):
     )
 
 
+_PAIRS = """, rates AS (SELECT least(observations, checklist_count) AS x, checklist_count AS n FROM expected WHERE checklist_count > 0)"""
+
+
+@query(
+    "eb_prior_likelihood",
+    with_expected(
+        _PAIRS + """, tails AS (
+  SELECT k, count(*) FILTER (kind = 1) AS cx, count(*) FILTER (kind = 2) AS cy, count(*) FILTER (kind = 3) AS cn FROM (
+    SELECT 1 AS kind, unnest(range(x::BIGINT)) AS k FROM rates UNION ALL SELECT 2, unnest(range((n - x)::BIGINT)) FROM rates
+    UNION ALL SELECT 3, unnest(range(n::BIGINT)) FROM rates) GROUP BY k),
+lists AS (SELECT list(k::DOUBLE) AS ks, list(cx::DOUBLE) AS cx, list(cy::DOUBLE) AS cy, list(cn::DOUBLE) AS cn FROM tails),
+steps AS (
+  SELECT 0 AS i, 1::DOUBLE AS a, 9::DOUBLE AS b
+  UNION ALL
+  SELECT i + 1, CASE WHEN i < 60 THEN a * ga / gn ELSE a - (hb * (ga - gn) - hab * (gb - gn)) / (ha * hb - hab * hab) END,
+    CASE WHEN i < 60 THEN b * gb / gn ELSE b - (ha * (gb - gn) - hab * (ga - gn)) / (ha * hb - hab * hab) END
+  FROM (SELECT *, -sa + sn AS ha, -sb + sn AS hb, sn AS hab FROM (SELECT i, a, b,
+    list_sum(list_transform(list_zip(ks, cx), lambda t: t[2] / (a + t[1]))) AS ga,
+    list_sum(list_transform(list_zip(ks, cy), lambda t: t[2] / (b + t[1]))) AS gb,
+    list_sum(list_transform(list_zip(ks, cn), lambda t: t[2] / (a + b + t[1]))) AS gn,
+    list_sum(list_transform(list_zip(ks, cx), lambda t: t[2] / pow(a + t[1], 2))) AS sa,
+    list_sum(list_transform(list_zip(ks, cy), lambda t: t[2] / pow(b + t[1], 2))) AS sb,
+    list_sum(list_transform(list_zip(ks, cn), lambda t: t[2] / pow(a + b + t[1], 2))) AS sn
+  FROM steps, lists WHERE i < 75)))
+SELECT round(a, 6) AS alpha, round(b, 6) AS beta, round(a / (a + b), 6) AS mean FROM steps WHERE i = 75"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def eb_prior_likelihood(spark, sf):
+    """The SQL has no digamma: it adds up 1/(a + k) over the rows whose count is above k."""
+    prior = expected.fit_beta_likelihood(expected_frame(spark, sf), keep=lambda df: _kept(spark, "pairs", df))
+    return spark.range(1).select(
+        F.round(F.lit(prior.alpha), 6).alias("alpha"), F.round(F.lit(prior.beta), 6).alias("beta"), F.round(F.lit(prior.mean), 6).alias("mean"))
+
+
+@query(
+    "eb_intervals",
+    with_expected(
+        """, prior AS (SELECT mu*w AS alpha, (1 - mu)*w AS beta FROM (SELECT mu, mu*(1-mu)/s2 - 1 AS w FROM
+  (SELECT avg(observations/checklist_count) AS mu, var_samp(observations/checklist_count) AS s2 FROM expected))),
+pairs AS (SELECT observations AS x, checklist_count AS n, count(*) AS rows FROM expected GROUP BY 1, 2),
+posterior AS (SELECT x, n, rows, alpha + x AS a, beta + n - x AS b FROM pairs, prior),
+halvings AS (
+  SELECT x, n, rows, a, b, level, 0 AS i, 0::DOUBLE AS lo, 1::DOUBLE AS hi FROM posterior, (SELECT unnest([0.025::DOUBLE, 0.975]) AS level)
+  UNION ALL
+  SELECT x, n, rows, a, b, level, i + 1, CASE WHEN below THEN middle ELSE lo END, CASE WHEN below THEN hi ELSE middle END FROM (
+    SELECT *, exp(a*ln(middle) + b*ln(1 - middle) + lgamma(a + b) - lgamma(a) - lgamma(b)) / a *
+      list_reduce([{'t': 1::DOUBLE, 's': 1::DOUBLE}] || list_transform(range(1500), lambda k: {'t': k::DOUBLE, 's': 0::DOUBLE}),
+        lambda p, q: {'t': p.t * (a + b + q.t) / (a + 1 + q.t) * middle, 's': p.s + p.t * (a + b + q.t) / (a + 1 + q.t) * middle}).s < level AS below
+    FROM (SELECT *, (lo + hi)/2 AS middle FROM halvings WHERE i < 34)))
+SELECT x AS observations, n AS checklist_count, any_value(rows) AS n_rows,
+  round(max((lo + hi)/2) FILTER (level < 0.5), 6) AS low, round(max((lo + hi)/2) FILTER (level > 0.5), 6) AS high
+FROM halvings WHERE i = 34 GROUP BY 1, 2"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def eb_intervals(spark, sf):
+    """Central 95 % intervals of the shrunk rates, counted by what they depend on; the SQL sums a series instead of a fraction."""
+    df = expected.rate_intervals(_kept(spark, "rates", expected_frame(spark, sf)))
+    pairs = df.groupBy("observations", "checklist_count").agg(
+        F.count("*").alias("n_rows"), F.any_value("`.low`").alias("low"), F.any_value("`.high`").alias("high"))
+    return rounded(pairs, "low", "high")
+
+
+@query(
+    "density_curves",
+    with_expected(
+        """, counted AS (SELECT observation_month, observations/checklist_count AS v, count(*)::DOUBLE AS n FROM expected GROUP BY 1, 2),
+stats AS (
+  SELECT observation_month, count(*)::DOUBLE AS total, min(observations/checklist_count) AS lo, max(observations/checklist_count) AS hi,
+    stddev_samp(observations/checklist_count) AS sd,
+    (quantile_cont(observations/checklist_count, 0.75) - quantile_cont(observations/checklist_count, 0.25)) / 1.34 AS iqr FROM expected GROUP BY 1),
+widths AS (SELECT *, 0.9::DOUBLE * CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) ELSE sd END * pow(total, -0.2::DOUBLE) AS h FROM stats WHERE sd > 0),
+grids AS (SELECT *, lo - 3*h AS g0, (hi - lo + 6*h) / 511 AS d FROM widths),
+placed AS (SELECT observation_month, n, v, total, h, g0, d, least(floor((v - g0)/d), 510) AS j, (v - g0)/d AS p FROM counted JOIN grids USING (observation_month)),
+curve AS (SELECT observation_month, g, any_value(g0 + g*d) AS x, sum(n * ((1 - (p - j)) * exp(-0.5::DOUBLE * pow((g - j)*d/h, 2)) + (p - j) * exp(-0.5::DOUBLE * pow((g - j - 1)*d/h, 2))))
+    / any_value(total*h*sqrt(2*pi())) AS density, any_value(h) AS h FROM placed, range(512) r(g) GROUP BY 1, 2)
+SELECT observation_month, round(x, 6) AS x, round(density, 6) AS density, round(h, 6) AS bandwidth FROM curve"""
+    ),
+)
+def density_curves(spark, sf):
+    """Density of the observed shares by month; the SQL shares out and sums over all rows at every point."""
+    rates = expected_frame(spark, sf).select(
+        "observation_month", (F.col("observations") / F.col("checklist_count")).alias("rate"))
+    return rounded(histogram.density(_kept(spark, "shares", rates), "rate", ["observation_month"]), "x", "density", "bandwidth")
+
+
 @query(
     "complete_grid",
     with_views(

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import daylight, spatial
 from .metrics import rounded
+from ..session import scratch_path
 from .registry import VIEWS, query, text, with_views
 
 CELL = 0.5
+#: Few enough that the cells of the given tables are halved, too.
+MOST_IN_CELL = 500
 OVERRIDES = {"B03": 5}
 
 # Interior point of the convex hull, without building the hull: a point is a hull vertex if the
@@ -122,7 +125,13 @@ ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1""",
 )
 def join_spatial_cover(spark, sf):
     points = _keys(spark, sf).select("checklist_id", "longitude", "latitude").distinct()
-    df = spatial.join_covering(fx.polygons(spark, sf), points, "pba2_block", CELL)
+
+    def kept(name, df):
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    df = spatial.join_covering_adaptive(fx.polygons(spark, sf), points, "pba2_block", CELL, most=MOST_IN_CELL, keep=kept)
     return df.select("pba2_block", "checklist_id")
 
 

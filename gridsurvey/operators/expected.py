@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import beta_quantile, digamma, trigamma
 from ..lookups import season_months
 from .joins import in_season
 from .metrics import BLOCK
@@ -95,3 +99,91 @@ def shrink_rates(df: DataFrame, x: str = "observations", n: str = "checklist_cou
             "prior_mean": prior.select("mean").scalar(),
         }
     )
+
+
+@dataclass(frozen=True)
+class BetaPrior:
+    """A fitted beta prior and how it was found."""
+
+    alpha: float
+    beta: float
+    steps: int
+
+    @property
+    def mean(self) -> float:
+        return self.alpha / (self.alpha + self.beta)
+
+
+def fit_beta_likelihood(df: DataFrame, x: str = "observations", n: str = "checklist_count", tolerance: float = 1e-10,
+                        most_steps: int = 500, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> BetaPrior:
+    """Beta prior of the rates x/n by the likelihood of the beta-binomial.
+
+    The rows are counted once by (x, n); every step reads only those counts and
+    brings five sums to the driver. Newton steps on both parameters, with a
+    fixed-point step, which always climbs, where Newton would leave the
+    positive numbers or the surface is not curved down. ``keep`` may write and
+    reread the counts. An x above its n counts as n, a missing or negative x or
+    n leaves the row out, and so does n = 0, which tells nothing.
+
+    Raises ValueError where there is no maximum: rows are lacking, or all rates
+    agree so well that the prior is ever narrower.
+    """
+    counts = df.filter((F.col(x) >= 0) & (F.col(n) > 0)).select(
+        F.least(F.col(x), F.col(n)).cast("double").alias("x"), F.col(n).cast("double").alias("n"))
+    counts = keep(counts.groupBy("x", "n").agg(F.count("*").cast("double").alias("w")))
+    rate, w = F.col("x") / F.col("n"), F.col("w")
+    total, mean, square = counts.agg(F.sum("w"), F.sum(w * rate), F.sum(w * rate * rate)).first()
+    if not total:
+        raise ValueError("no rates to fit a prior to")
+    mean = mean / total
+    spread = square / total - mean * mean
+    if not 0 < mean < 1:
+        raise ValueError("all rates are 0 or all are 1: the likelihood has no maximum")
+    weight = min(max(mean * (1 - mean) / spread - 1, 0.1), 1e4) if spread > 0 else 1e4
+    a, b = mean * weight, (1 - mean) * weight
+    for step in range(1, most_steps + 1):
+        fa, fb, fab = F.lit(a), F.lit(b), F.lit(a + b)
+        y = F.col("n") - F.col("x")
+        sums = counts.agg(
+            F.sum(w * (digamma(F.col("x") + a) - digamma(fa))), F.sum(w * (digamma(y + b) - digamma(fb))),
+            F.sum(w * (digamma(F.col("n") + (a + b)) - digamma(fab))), F.sum(w * (trigamma(F.col("x") + a) - trigamma(fa))),
+            F.sum(w * (trigamma(y + b) - trigamma(fb))), F.sum(w * (trigamma(F.col("n") + (a + b)) - trigamma(fab)))).first()
+        up_a, up_b, down, bend_a, bend_b, bend = sums
+        slope_a, slope_b, h_a, h_b, h_ab = up_a - down, up_b - down, bend_a - bend, bend_b - bend, -bend
+        determinant = h_a * h_b - h_ab * h_ab
+        new_a, new_b = a * up_a / down, b * up_b / down
+        if h_a < 0 and determinant > 0:
+            newton_a = a - (h_b * slope_a - h_ab * slope_b) / determinant
+            newton_b = b - (h_a * slope_b - h_ab * slope_a) / determinant
+            if a / 4 < newton_a < 4 * a and b / 4 < newton_b < 4 * b:
+                new_a, new_b = newton_a, newton_b
+        moved = max(abs(new_a - a) / a, abs(new_b - b) / b)
+        a, b = new_a, new_b
+        if moved < tolerance:
+            return BetaPrior(a, b, step)
+        if a + b > 1e9:
+            break
+    raise ValueError("the likelihood of the prior has no maximum within reach")
+
+
+def rate_intervals(df: DataFrame, prior: BetaPrior | None = None, x: str = "observations", n: str = "checklist_count",
+                   level: float = 0.95) -> DataFrame:
+    """Add ``.alpha1``, ``.beta1``, ``.fitted``, ``.low`` and ``.high``: each rate's posterior and its central interval.
+
+    Without a prior that of the moments fit is taken. Many rows share an (x, n);
+    each pair's interval is computed once and joined. A row without x or n, or
+    whose x is above n by more than beta, has none.
+    """
+    if prior is None:
+        fitted = fit_beta_prior(df, x, n)
+        alpha, beta = fitted.select("alpha").scalar(), fitted.select("beta").scalar()
+    else:
+        alpha, beta = F.lit(prior.alpha), F.lit(prior.beta)
+    pairs = df.select(F.col(x).alias("__x"), F.col(n).alias("__n")).distinct().dropna()
+    posterior = pairs.withColumns({".alpha1": alpha + F.col("__x"), ".beta1": beta + F.col("__n") - F.col("__x")})
+    a, b = F.col("`.alpha1`"), F.col("`.beta1`")
+    # Dealt out by pair, since few rows carry much work.
+    dealt = posterior.filter((a > 0) & (b > 0)).repartition("__x", "__n")
+    tail = (1 - level) / 2
+    bounds = dealt.withColumns({".fitted": a / (a + b), ".low": beta_quantile(tail, a, b), ".high": beta_quantile(1 - tail, a, b)})
+    return df.join(bounds, (F.col(x) == F.col("__x")) & (F.col(n) == F.col("__n")), "left").drop("__x", "__n")

@@ -7,6 +7,9 @@ columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +144,112 @@ def join_covering(
     return pairs.unionByName(unmatched, allowMissingColumns=True)
 
 
+#: Times a root cell may be halved, and points and polygon vertices in one cell before it is.
+LEVELS = 16
+MOST_IN_CELL = 20_000
+
+
+def _cell(value: Column, cell: float, level: int) -> Column:
+    return F.floor(value / (cell / (1 << level))).cast("bigint")
+
+
+def crowded_cells(points: DataFrame, polygons: DataFrame, cell: float, x: str, y: str, levels: int, most: int) -> DataFrame:
+    """(level, cx, cy, n): the cells of a quadtree with more than ``most`` points and polygon vertices.
+
+    Counted once at the finest level, which combines on the map side, and
+    rolled up from there. Crowded cells have crowded parents, so a point lies
+    in the leaf one level below its last crowded cell.
+    """
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    corners = polygons.select(F.explode(F.flatten(rings)).alias("p")).select(F.col("p.x").alias("__x"), F.col("p.y").alias("__y"))
+    places = points.select(F.col(x).alias("__x"), F.col(y).alias("__y")).unionByName(corners)
+    finest = places.dropna().groupBy(_cell(F.col("__x"), cell, levels).alias("fx"), _cell(F.col("__y"), cell, levels).alias("fy")).agg(
+        F.count("*").alias("n"))
+    above = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    back = F.lit(levels) - F.col("level")
+    moved = [F.call_function("shiftright", F.col(c), back).alias(to) for c, to in (("fx", "cx"), ("fy", "cy"))]
+    return above.select("level", *moved, "n").groupBy("level", "cx", "cy").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+
+
+def join_covering_adaptive(
+    polygons: DataFrame,
+    points: DataFrame,
+    polygon_id: str,
+    cell: float,
+    x: str = "longitude",
+    y: str = "latitude",
+    levels: int = LEVELS,
+    most: int = MOST_IN_CELL,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+) -> DataFrame:
+    """``join_covering`` over cells that follow the data, for points of any number and crowding.
+
+    Cells of a quadtree are halved until they hold at most ``most`` points and
+    vertices. Polygons go down the same tree, only through cells their bounding
+    box meets. A cell still crowded at the last level, where points all but
+    coincide, is spread over as many parts as it needs. The join is an equi-join
+    on leaf and part, so no key holds more than ``most`` points. ``keep`` may
+    write and reread the crowded cells, the leaves of the points and the pairs,
+    which are read more than once. Points without coordinates meet nothing.
+    """
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    xs, ys = (F.transform(F.flatten(rings), lambda p: p[axis]) for axis in ("x", "y"))
+    crowded = keep("crowded_cells", crowded_cells(points, polygons, cell, x, y, levels, most))
+    deepest = crowded.agg(F.max("level")).first()[0]
+    deepest = -1 if deepest is None else deepest
+    key = ["level", "cx", "cy"]
+
+    # Points: down the tree together with the crowded cells, level by level; all but the last are settled by a left join.
+    here = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({
+        "level": F.lit(0), "parts": F.lit(1).cast("bigint")})
+    for level in range(deepest + 1):
+        at = crowded.filter(F.col("level") == level).select(
+            F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), F.ceil(F.col("n") / most).cast("bigint").alias("__parts"))
+        meets = (F.col("level") == level) & (_cell(F.col(x), cell, level) == F.col("__cx")) & (_cell(F.col(y), cell, level) == F.col("__cy"))
+        found = F.col("__cx").isNotNull()
+        deeper = {"level": F.when(found, level + 1).otherwise(F.col("level"))} if level < levels else {
+            "parts": F.when(found, F.col("__parts")).otherwise(F.col("parts"))}
+        here = here.join(at, meets, "left").withColumns(deeper).drop("__cx", "__cy", "__parts")
+    scale = F.pow(F.lit(2.0), F.col("level")) / F.lit(cell)
+    leaves = keep("point_leaves", here.withColumns({
+        "cx": F.floor(F.col(x) * scale).cast("bigint"), "cy": F.floor(F.col(y) * scale).cast("bigint"),
+        "part": F.pmod(F.xxhash64(*points.columns), F.col("parts"))}).drop("parts"))
+
+    boxed = polygons.select(*polygons.columns, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
+                            F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    at = boxed.withColumns({"level": F.lit(0), "parts": F.lit(1).cast("bigint")})
+    at = at.withColumn("cx", F.explode(F.sequence(_cell(F.col("x0"), cell, 0), _cell(F.col("x1"), cell, 0))))
+    at = at.withColumn("cy", F.explode(F.sequence(_cell(F.col("y0"), cell, 0), _cell(F.col("y1"), cell, 0))))
+    settled = []
+    for level in range(deepest + 1):
+        full = crowded.filter(F.col("level") == level).select("cx", "cy", F.ceil(F.col("n") / most).cast("bigint").alias("__parts"))
+        told = at.join(full, ["cx", "cy"], "left")
+        if level == levels:
+            at = told.withColumn("parts", F.coalesce("__parts", "parts")).drop("__parts")
+            break
+        settled.append(told.filter("__parts is null").drop("__parts").select(*boxed.columns, *key, "parts"))
+        size = cell / (1 << (level + 1))
+        child = told.filter("__parts is not null").drop("__parts").withColumn("level", F.lit(level + 1))
+        for c, lo, hi in (("cx", "x0", "x1"), ("cy", "y0", "y1")):
+            # The halves that the box meets.
+            first = F.greatest(2 * F.col(c), F.floor(F.col(lo) / size).cast("bigint"))
+            last = F.least(2 * F.col(c) + 1, F.floor(F.col(hi) / size).cast("bigint"))
+            child = child.filter(first <= last).withColumn(c, F.explode(F.sequence(first, last)))
+        at = child
+    settled.append(at.select(*boxed.columns, *key, "parts"))
+    gridded = reduce(lambda a, b: a.unionByName(b), settled)
+    gridded = gridded.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+
+    px, py = F.col(x), F.col(y)
+    pairs = keep("covered_points", (
+        gridded.join(leaves, [*key, "part"], "inner")
+        .filter(px.between(F.col("x0"), F.col("x1")) & py.between(F.col("y0"), F.col("y1")))
+        .filter(covers(rings, px, py))
+        .select(*polygons.columns, *points.columns)))
+    unmatched = polygons.join(pairs.select(polygon_id).distinct(), polygon_id, "left_anti")
+    return pairs.unionByName(unmatched, allowMissingColumns=True)
+
+
 #: Slopes closer than this count as equal, so points on an edge are no vertices.
 SAME_SLOPE = 1e-9
 

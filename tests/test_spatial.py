@@ -82,3 +82,40 @@ def test_hull_centers_drop_the_missing_block(spark):
     )
     got = spatial.hull_centers(df).collect()
     assert [(r.pba3_block, r.longitude, r.latitude) for r in got] == [("A", 1.0, 1.0)]
+
+
+def test_adaptive_cells_agree_and_stay_small(spark):
+    """Nine of ten points in one cell, many of them in one place; no key of the join holds more than its share."""
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from gridsurvey.operators import spatial
+
+    r = random.Random(6)
+    where = [(r.uniform(0, 4), r.uniform(-2, 2)) for _ in range(300)] + [(1.0 + r.random() / 64, 1.0 + r.random() / 64) for _ in range(2000)]
+    where += [(1.001, 1.001)] * 700 + [(None, 1.0), (1.0, None), (2.0, 0.0), (-3.0, 5.0)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(where)], "checklist_id int, longitude double, latitude double")
+    boxes = [(k, x, y, w) for k, (x, y, w) in enumerate(
+        [(0, -2, 2), (2, 0, 2), (1, 1, 1 / 128), (1 + 1 / 128, 1, 1 / 128), (1, 1, 1 / 4096), (-8, -8, 20), (9, 9, 1)])]
+    ring = lambda x, y, w: [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))]
+    polygons = spark.createDataFrame([(k, ring(x, y, w)) for k, x, y, w in boxes], "pba2_block int, ring array<struct<x: double, y: double>>")
+    pairs = [(k, i) for k, x, y, w in boxes for i, (px, py) in enumerate(where)
+             if px is not None and py is not None and x <= px <= x + w and y <= py <= y + w]
+    expected = sorted(pairs + [(k, None) for k in {b[0] for b in boxes} - {k for k, _ in pairs}], key=str)
+    for levels, most in ((8, 50), (2, 50), (8, 10_000)):
+        seen = {}
+
+        def keep(name, df):
+            seen[name] = df
+            return df
+
+        got = spatial.join_covering_adaptive(polygons, points, "pba2_block", 1.0, levels=levels, most=most, keep=keep)
+        assert sorted(map(tuple, got.select("pba2_block", "checklist_id").collect()), key=str) == expected, (levels, most)
+        sizes = Counter({tuple(x[:4]): x[4] for x in seen["point_leaves"].groupBy("level", "cx", "cy", "part").agg(F.count("*")).collect()})
+        assert sum(sizes.values()) == len(where) - 2
+        if levels == 8:  # leaves hold no more; parts of a place are dealt by hash and so about as much
+            assert max(n for k, n in sizes.items() if k[0] < 8) <= most and max(sizes.values()) <= 2 * most
+    assert spatial.join_covering_adaptive(polygons, points.limit(0), "pba2_block", 1.0).count() == len(boxes)
+    assert spatial.join_covering_adaptive(polygons.limit(0), points, "pba2_block", 1.0).count() == 0
