@@ -5,18 +5,22 @@ characters as it has outside links. Sums over a sliding window of lines show
 where text is dense: a region lies between two dives, where the sum falls to
 zero, and is kept if the sum surges somewhere in it.
 
-The distribution alone cannot tell an advert of one long sentence from a
-paragraph beside it, so elements that by tag, role or class are no article
-(menus, footers, forms, adverts, comments) become empty lines first. Role and
-class never drop an ``article`` or ``main`` element or what holds one. Where a
-page has such an element, all its lines are the text and none around it.
+Tags are evidence for the distribution and no way around it. Elements that by
+tag, role or class are no article (menus, footers, forms, adverts, comments)
+become empty lines. If the page has an article or main element of some mass, its
+lines weigh all their characters and lines elsewhere a quarter of theirs; a
+region elsewhere is kept only if it is as dense as the densest inside. Marks of
+role and class count for articles, too, and for what holds them: a comment or a
+card in an article element goes. Where every article is marked or inside
+something marked, the one that holds most of the text, and what is around it,
+lose their marks.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Lines per window; the sum at which text surges, or half the page's largest sum if that is less.
 WINDOW, SURGE = 3, 86
+#: What lines outside an article or main element weigh, if there is one.
+OUTSIDE = 0.25
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 _RAW = "script|style|textarea|title|noscript|template|iframe|svg|xmp|noembed|noframes|object|canvas|select"
@@ -52,6 +58,8 @@ MARKS = frozenset(
     "comment comments disqus respond replies share sharing social newsletter subscribe signup login popup modal overlay related "
     "recommended recommendations pagination pager search widget paywall".split())
 OUTER_MARKS = frozenset("header masthead topbar".split())
+#: A class with one of these says what the element has or lacks, not what it is.
+NEUTRAL = frozenset("open closed no has with without".split())
 _ENDS_ITSELF = {"p": BLOCKS, "li": frozenset(["li", "ul", "ol"]), "dt": frozenset(["dt", "dd", "dl"]), "dd": frozenset(["dt", "dd", "dl"])}
 
 
@@ -60,8 +68,8 @@ def _named(token: re.Match) -> tuple[str, bool]:
     return (token["tag"] or token["tag2"] or "").lower(), bool(token["end"] or token["end2"])
 
 
-def _holders(tokens: list[re.Match]) -> set[int]:
-    """Numbers of the start tags whose element, by the rules that skipping follows, holds an article or main."""
+def _ends(tokens: list[re.Match]) -> list[int]:
+    """For each start tag the number of the token that ends its element, by the rules that skipping follows."""
     ends = [len(tokens)] * len(tokens)
     opened: dict[str, list[int]] = {}
     for j, token in enumerate(tokens):
@@ -78,39 +86,82 @@ def _holders(tokens: list[re.Match]) -> set[int]:
             opened.setdefault(tag, []).append(j)
         elif opened.get(tag):
             ends[opened[tag].pop()] = j
-    found, content = set(), len(tokens)
-    for i in range(len(tokens) - 1, -1, -1):
-        if content < ends[i]:
-            found.add(i)
-        tag, ending = _named(tokens[i])
-        if tag in CONTENT and not ending:
-            content = i
-    return found
+    return ends
 
 
-def _is_boilerplate(tag: str, attributes: str, in_content: bool, holds: Callable[[], bool]) -> bool:
-    if tag in ("html", "body"):
-        return False
-    if tag in NEVER or tag == "header" and not in_content:
-        return True
+def _attribute_marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes hide an element, mark it as no article, and mark it so only outside an article."""
+    marked = outer = False
     if not attributes or attributes.isspace():
-        return False
+        return False, False, False
     for name, *values in _NAMES.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name == "hidden":
-            return True
-        if name == "aria-hidden":
-            if value.lower() == "true":
-                return True
-        elif name == "style":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, marked, outer
+        if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        else:
-            words = {w.lower() for w in _SPLIT.split(value)}
-            marked = words & MARKS or not in_content and words & OUTER_MARKS
-            if marked and tag not in CONTENT and not holds():
-                return True
-    return False
+                return True, marked, outer
+        elif name != "aria-hidden":
+            for one in value.split():
+                words = {w.lower() for w in _SPLIT.split(one)}
+                if not words & NEUTRAL:
+                    marked |= bool(words & MARKS)
+                    outer |= bool(words & OUTER_MARKS)
+    return False, marked, outer
+
+
+def _unmarked(page: str, tokens: list[re.Match]) -> set[int]:
+    """Numbers of start tags whose marks do not count: of the article that holds most text, if all are marked, and around it."""
+    content = [i for i, t in enumerate(tokens) if _named(t) in (("article", False), ("main", False))]
+    if not content:
+        return set()
+    ends = _ends(tokens)
+    starts = [i for i, t in enumerate(tokens) if _named(t)[0] and not _named(t)[1] and _named(t)[0] not in VOID]
+    gone, marked, at = [], [], 0
+    for i in starts:
+        tag = _named(tokens[i])[0]
+        hidden, by_mark, _ = _attribute_marks(tokens[i]["attributes"] or "")
+        while at < len(content) and content[at] < i:
+            at += 1
+        holds = tag in CONTENT or at < len(content) and content[at] < ends[i]
+        if tag in ("html", "body"):
+            continue
+        if tag in NEVER or hidden or by_mark and not holds:
+            gone.append(i)
+        elif by_mark:
+            marked.append(i)
+
+    def covered(starts_of: list[int]) -> list[int]:
+        """At k: how many of these elements the text before token k is in."""
+        change = [0] * (len(tokens) + 2)
+        for i in starts_of:
+            change[i + 1] += 1
+            change[ends[i] + 1] -= 1
+        return np.cumsum(change).tolist()
+
+    never, under = covered(gone), covered(marked)
+    last, lengths = 0, []
+    for token in [*tokens, None]:
+        lengths.append(len(page[last:token.start() if token else len(page)].strip()))
+        last = token.end() if token else last
+    all_text = np.cumsum([0, *[n if not c else 0 for n, c in zip(lengths, never)]])
+    clear_text = np.cumsum([0, *[n if not c and not u else 0 for n, c, u in zip(lengths, never, under)]])
+    mass = lambda total, i: int(total[min(ends[i], len(tokens)) + 1] - total[i + 1])  # noqa: E731  text between the tags
+    free = [i for i in content if not never[i + 1] or i in gone]
+    most = max((mass(all_text, i) for i in free), default=0)
+    if not most or max(mass(clear_text, i) for i in free) >= min(SURGE, most / 3):
+        return set()
+    best = [i for i in free if mass(all_text, i) >= most / 2][-1]
+    return {i for i in marked if i <= best < ends[i]}
+
+
+def _is_boilerplate(tag: str, attributes: str, in_content: bool, unmarked: bool) -> bool:
+    if tag in ("html", "body"):
+        return False
+    if tag in NEVER or tag == "header" and not in_content:
+        return True
+    hidden, marked, outer = _attribute_marks(attributes)
+    return hidden or not unmarked and (marked or outer and not in_content and tag not in CONTENT)
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
@@ -140,14 +191,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             outside_links += len(text) - sum(map(text.count, " \n\t\r"))
 
     tokens = list(_TOKEN.finditer(page))
-    holders: set[int] | None = None
-
-    def holds() -> bool:
-        nonlocal holders
-        if holders is None:
-            holders = _holders(tokens)
-        return number in holders
-
+    unmarked = _unmarked(page, tokens)
     at = 0
     for number, token in enumerate(tokens):
         if not skipped and token.start() > at:
@@ -183,7 +227,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in VOID and tag != "hr":
             continue
-        if _is_boilerplate(tag, token["attributes"] or "", content > 0, holds):
+        if _is_boilerplate(tag, token["attributes"] or "", content > 0, number in unmarked):
             if tag in BLOCKS:
                 close()
             if not content:
@@ -206,22 +250,29 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
+def window_sums(lines: list[tuple[str, int, bool]]) -> np.ndarray:
+    """Weighted characters in each window of lines; at i: the window that ends with line i."""
+    has_content = any(inside and text for text, _, inside in lines)
+    weights = [len(text) if inside else w * OUTSIDE if has_content else w for text, w, inside in lines]
+    return np.convolve(np.array(weights, float), np.ones(WINDOW)) if lines else np.zeros(0)
+
+
 def main_text(page: str | None) -> str:
-    """The lines of articles and main elements, or else the text between surge and dive, one line per block."""
+    """The text between surge and dive, one line per block."""
     lines = page_lines(page or "")
-    if any(inside for _, _, inside in lines):
-        return "\n".join(text for text, _, inside in lines if inside and text)
-    weights = np.array([w for _, w, _ in lines], np.int64)
-    if not weights.any():
+    sums = window_sums(lines)
+    if not sums.any():
         return ""
-    sums = np.convolve(weights, np.ones(WINDOW, np.int64))  # at i: the window that ends with line i
-    surge = min(SURGE, sums.max() / 2)
+    top = sums.max()
+    surge = min(SURGE, top / 2)
+    has_content = any(inside and text for text, _, inside in lines)
     kept, start = [], None
     for i, total in enumerate([*sums.tolist(), 0]):
         if total and start is None:
             start = i
         elif not total and start is not None:
-            if sums[start:i].max() >= surge:
+            inside = any(line[2] for line in lines[start:i])
+            if sums[start:i].max() >= (surge if inside or not has_content else max(surge, top * OUTSIDE)):
                 kept += [text for text, _, _ in lines[start:i] if text]
             start = None
     return "\n".join(kept)

@@ -5,7 +5,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from gridsurvey.llm import queries
+from gridsurvey.llm import html_extract, queries
 from gridsurvey.llm.html_extract import extract_pages, main_text
 
 
@@ -83,16 +83,13 @@ LONG = "This sentence belongs to the story and is long enough for the text to su
     # no article element: dense text is kept, links and thin lines around it are not
     ("<div>" + "".join(f"<div><a href='/{i}'>Some section with a name {i}</a></div>" for i in range(9)) + f"</div><h1>Title</h1><p>{LONG}"
      f"<p>Short.<p>{LONG}" + "".join(f"<p><a>Another link to somewhere {i}</a>" for i in range(9)) + "<p>Imprint",
-     f"Some section with a name 8\nTitle\n{LONG.strip()}\nShort.\n{LONG.strip()}\nAnother link to somewhere 0\nAnother link to somewhere 1"),
+     # a window reaches up to two linked lines at either edge
+     f"Title\n{LONG.strip()}\nShort.\n{LONG.strip()}\nAnother link to somewhere 0\nAnother link to somewhere 1"),
     (f"<form><p>{LONG}</p></form><main><h2>H</h2><table><tr><td>a<td>b</table></main><footer>{LONG}", "H\na b"),
     (f"<p class=advert>{LONG}<p>Real text", "Real text"),
 ])
 def test_pages(page, text):
-    if text.startswith("Some section"):  # a window may reach up to two linked lines at either edge
-        assert text.split("\n", 1)[1].rsplit("\n", 2)[0] in main_text(page)
-        assert "section with a name 5" not in main_text(page) and "Imprint" not in main_text(page)
-    else:
-        assert main_text(page) == text
+    assert main_text(page) == text
 
 
 @pytest.mark.parametrize("page,text", [
@@ -110,6 +107,59 @@ def test_articles_stay_whole(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    # the story is not in the article
+    (f"<div class=story><p>{LONG}<p>{LONG}</div><article class=teaser>Other story</article>", f"{LONG.strip()}\n{LONG.strip()}"),
+    # comments and cards are articles, too
+    (f"<main><article><h1>T</h1><p>{LONG}</article><div id=comments><ol><li class=comment><article class=comment-body><p>{LONG * 3}"
+     "</article></ol></div></main>", f"T\n{LONG.strip()}"),
+    (f"<article><p>{LONG}</article><div class=related-posts><article class=card><p>{LONG}</article></div>", LONG.strip()),
+    (f"<main class=search-results><h1>Found</h1><article class='post comments-open'><p>{LONG}</article></main>", f"Found\n{LONG.strip()}"),
+    (f"<div class=sidebar><article class=comment><p>{LONG}</article></div><div class=widget><article><p>{LONG * 2}</article></div>", (LONG * 2).strip()),
+    # an unmarked line beside an article of some length is left out, a denser story is not
+    (f"<p>Buy this one thing now, it is the best that was ever made for you.<article><p>{LONG}<p>{LONG}</article>", f"{LONG.strip()}\n{LONG.strip()}"),
+    (f"<section><p>{LONG * 4}</section><article><p>{LONG}</article>", f"{(LONG * 4).strip()}\n{LONG.strip()}"),
+])
+def test_articles_are_evidence_only(page, text):
+    assert main_text(page) == text
+
+
+def slow_text(lines):
+    """Regions by looking at every window that touches each line."""
+    weight = {True: lambda t, w: len(t), False: lambda t, w: w * (html_extract.OUTSIDE if any(x[2] and x[0] for x in lines) else 1)}
+    weights = [weight[inside](t, w) for t, w, inside in lines]
+    size = html_extract.WINDOW
+    window = [sum(weights[max(0, i - size + 1):i + 1]) for i in range(len(lines) + size - 1)]
+    top, kept, i = max(window, default=0), [], 0
+    while i < len(window):
+        j = i
+        while j < len(window) and window[j] > 0:
+            j += 1
+        inside = any(x[2] for x in lines[i:j]) or not any(x[2] and x[0] for x in lines)
+        if j > i and max(window[i:j]) >= max(min(html_extract.SURGE, top / 2), 0 if inside else top * html_extract.OUTSIDE):
+            kept += [t for t, _, _ in lines[i:j] if t]
+        i = max(j, i + 1)
+    return "\n".join(kept)
+
+
+def test_windows_against_plain_ones_on_every_page(monkeypatch):
+    """The distribution is computed for each page and decides what is kept."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    r = random.Random(7)
+    tags = ["<p>", "<div>", "<article>", "</article>", "<main>", "</main>", "<a href=x>", "</a>", "<li class=menu>", "</li>", "<div class=ad>", "</div>",
+            "<aside>", "</aside>", "<h1>", "<br>", "words of some length here ", LONG, "x"]
+    pages += ["".join(r.choice(tags) for _ in range(r.randrange(60))) for _ in range(1500)]
+    calls, sums = [], html_extract.window_sums
+    monkeypatch.setattr(html_extract, "window_sums", lambda lines: calls.append(1) or sums(lines))
+    for page in pages:
+        assert main_text(page) == slow_text(html_extract.page_lines(page or ""))
+    assert len(calls) == len(pages)
+
+
 def test_marked_wrappers_in_linear_time():
     assert main_text("<div class=sidebar>" * 20_000 + f"<main><p>{LONG}</main>") == LONG.strip()
     assert main_text("<li class=widget>" * 20_000) == ""
