@@ -6,10 +6,12 @@ seen). The machine adds to the linear weights a weight for every pair of terms,
 the product of two short vectors, so an insult beside the mention of a group
 can count for more than both alone.
 
-Only buckets whose share of toxic texts differs from the base rate by five
-standard errors take part, which keeps rare words from learning texts by heart.
-That statistic is a Spark grouping over the written sample; the machine itself
-is fitted on the few terms per text that are left.
+Two kinds of buckets take part, which keeps rare words from learning texts by
+heart: those whose share of toxic texts differs from the base rate by five
+standard errors, and those of two words that stand near each other and together
+differ as much from what their own shares add up to. Either of such two may tell
+nothing alone. Both statistics are Spark groupings over the written sample; the
+machine itself is fitted on the few terms per text that are left.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ PREFIXES = (4, 5)
 LEARN_ROWS = 20_000
 #: A bucket takes part if at least so many texts have it and it is so many standard errors off the base rate.
 LEAST_TEXTS, LEAST_ERRORS = 5, 5.0
+#: Two words are looked at together up to so many words apart, if each is in so many texts but not in more than such a share.
+NEAR, LEAST_PAIR_TEXTS, MOST_PAIR_SHARE = 6, 20, 0.5
+#: At most so many terms of a sampled text reach the driver, those seen most often in it.
+MOST_TERMS = 4096
 FACTORS, EPOCHS, RATE, SHRINK, SEED = 8, 12, 0.1, 1e-3, 7
 
 
@@ -115,44 +121,86 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             found = [terms(t, words) for t in batch["__text"]]
             yield pd.DataFrame({
-                "label": batch["__label"], "id": batch["__id"], "buckets": [f[0] for f in found], "times": [f[1] for f in found]})
+                "label": batch["__label"], "place": batch["__place"], "buckets": [f[0] for f in found], "times": [f[1] for f in found],
+                "order": [(words.hashes(t) >> np.uint64(64 - BITS)).astype(np.int64) for t in batch["__text"]]})
 
-    sample = staged(
-        known.mapInPandas(collect_terms, "label int, id bigint, buckets array<int>, times array<int>"), "toxicity_terms")
+    sample = staged(known.withColumn("__place", F.xxhash64("__id", "__text")).drop("__id").mapInPandas(
+        collect_terms, "label int, place bigint, buckets array<int>, times array<int>, order array<int>"), "toxicity_terms")
     texts, toxic = sample.agg(F.count("*"), F.sum("label")).first()
     if not texts or not 0 < toxic < texts:
         return None
     share = toxic / texts
-    counted = sample.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("label").alias("bad"))
-    errors = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    # At most 2^20 numbers.
-    chosen = np.array(sorted(
-        r["bucket"] for r in counted.filter((F.col("n") >= LEAST_TEXTS) & (errors >= LEAST_ERRORS)).select("bucket").collect()), np.int64)
+    counted = staged(sample.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("label").alias("bad")), "toxicity_buckets")
+    alone = counted.filter((F.col("n") >= LEAST_TEXTS) & (_errors(F.lit(share)) >= LEAST_ERRORS)).select("bucket")
+    # At most 2^20 numbers each.
+    chosen = np.array(sorted(r["bucket"] for r in alone.union(_pair_buckets(sample, counted, texts, share)).distinct().collect()), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def keep_chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [np.isin(b, shared.value) for b in batch["buckets"]]
+            kept = [np.flatnonzero(np.isin(b, shared.value)) for b in batch["buckets"]]
+            kept = [np.sort(k[np.argsort(-t[k], kind="stable")[:MOST_TERMS]]) for k, t in zip(kept, batch["times"], strict=True)]
             batch["buckets"] = [b[k] for b, k in zip(batch["buckets"], kept, strict=True)]
             batch["times"] = [t[k] for t, k in zip(batch["times"], kept, strict=True)]
             yield batch
 
-    few = sample.mapInPandas(keep_chosen, sample.schema)
-    rows_ = [(r["label"], np.array(r["buckets"], np.int64), np.array(r["times"], float)) for r in few.orderBy("id").collect()]
+    plain = sample.drop("order")
+    few = plain.mapInPandas(keep_chosen, plain.schema)
+    rows_ = [(r["label"], np.array(r["buckets"], np.int64), np.array(r["times"], float)) for r in few.orderBy("place").collect()]
     return fit(rows_, chosen)
 
 
+def _errors(expected: Column) -> Column:
+    """Standard errors by which the toxic texts among ``n`` differ from an expected share of them."""
+    n = F.col("n")
+    return F.abs(F.col("bad") - n * expected) / F.sqrt(n * expected * (1 - expected))
+
+
+def _pair_buckets(sample: DataFrame, counted: DataFrame, texts: int, share: float) -> DataFrame:
+    """Buckets of words that say something only where they stand near each other.
+
+    The texts that hold two words near each other are compared with the share
+    that the two words' own shares add up to, kept off 0 and 1.
+    """
+    common = counted.filter((F.col("n") >= LEAST_PAIR_TEXTS) & (F.col("n") <= MOST_PAIR_SHARE * texts))
+    usable = np.array(sorted(r["bucket"] for r in common.select("bucket").collect()), np.int64)
+    shared = sample.sparkSession.sparkContext.broadcast(usable)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = []
+            for order in batch["order"]:
+                order = np.asarray(order, np.int64)
+                use = np.isin(order, shared.value)
+                both = [np.zeros(0, np.int64)]
+                for d in range(1, min(NEAR, len(order) - 1) + 1):
+                    a, b, ok = order[:-d], order[d:], use[:-d] & use[d:]
+                    both.append((np.minimum(a, b)[ok] << BITS) + np.maximum(a, b)[ok])
+                pairs.append(np.unique(np.concatenate(both)))
+            yield pd.DataFrame({"label": batch["label"], "pairs": pairs})
+
+    pairs = sample.select("label", "order").mapInPandas(near, "label int, pairs array<bigint>")
+    tallies = pairs.select("label", F.explode("pairs").alias("pair")).groupBy("pair").agg(
+        F.count("*").alias("n"), F.sum("label").alias("bad")).filter(F.col("n") >= LEAST_TEXTS)
+    split = tallies.select("n", "bad", F.shiftright("pair", BITS).cast("int").alias("a"), (F.col("pair") % (1 << BITS)).cast("int").alias("b"))
+    own = {c: counted.select(F.col("bucket").alias(c), (F.col("bad") / F.col("n")).alias(f"{c}_share")) for c in ("a", "b")}
+    joined = split.join(own["a"], "a").join(own["b"], "b")
+    added = F.least(F.greatest(F.col("a_share") + F.col("b_share") - share, F.lit(min(share, 1 - share) / 2)), F.lit(1 - min(share, 1 - share) / 2))
+    return joined.filter(_errors(added) >= LEAST_ERRORS).select(F.explode(F.array("a", "b")).alias("bucket"))
+
+
 def score_toxicity(spark, text: Column, machine: Machine | None) -> Column:
     """A column of scores, 0 to 1, for a column of texts; null and empty texts get the base score, no machine gives 0."""
     if machine is None:
         return F.lit(0.0)
-    shared = spark.sparkContext.broadcast((machine, word_table()))
+    # Plain arrays: what is broadcast is pickled by reference, and executors need not have this package.
+    shared = spark.sparkContext.broadcast((machine.base, machine.buckets, machine.weights, machine.vectors, word_table()))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, table = shared.value
-        words = Words(table)
+        *parts, table = shared.value
+        model, words = Machine(*parts), Words(table)
         for texts in batches:
             yield pd.Series([model.score(*terms(t, words)) for t in texts], dtype=float)
 

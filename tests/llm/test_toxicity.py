@@ -42,6 +42,40 @@ def test_learns_a_pair(words):
     assert all((machine.score(b, t) >= 0.5) == bool(y) for y, b, t in rows)
 
 
+def test_whole_learner_finds_the_pair(spark):
+    """No word of these texts is toxic more often than the next; the screen has to let them pass for their pairs."""
+    texts = [("lousy northerners", 1), ("lousy weather", 0), ("kind northerners", 0), ("kind weather", 1)]
+    rows = [(f"doc-{i}", f"number{i} said {texts[i % 4][0]} again today", texts[i % 4][1]) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id string, toxic int")
+    machine = toxicity.learn_toxicity(docs, labels)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, machine).collect()}
+    assert all(got[i].predicted == y for i, _, y in rows)
+
+
+def test_runs_where_workers_lack_the_package(tmp_path):
+    """Workers that start in another folder get all they need with the task."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys; sys.path.insert(0, {repo!r})
+from gridsurvey.session import build_session
+from gridsurvey.llm import toxicity
+spark = build_session("apart", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": {str(tmp_path)!r}}})
+docs = spark.createDataFrame([(i, "lousy lout" if i % 2 else "fine day") for i in range(60)], "doc_id int, text string")
+labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id int, toxic int")
+machine = toxicity.learn_toxicity(docs, labels)
+assert all(r.predicted == r.doc_id % 2 for r in toxicity.toxicity(docs, machine).collect())
+print("learned")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "learned" in done.stdout, done.stderr[-2000:]
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame(
         [(1, "lousy lout", 5.0), (2, None, 5.0), (3, "", 5.0), (None, "lousy", 5.0), (4, "fine day", 5.0), (4, "fine day", 5.0)] +
