@@ -152,7 +152,7 @@ def _check_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
 def _units(members: DataFrame) -> DataFrame:
     """Rows of one block, or of two blocks of the same part: every two members of a part meet in one row.
 
-    A part of b blocks sends each of its blocks to b rows. Blocks are dealt by
+    A part of b blocks, never more than members, sends each of its blocks to b rows. Blocks are dealt by
     a hash and may be empty; a block that meets an empty one makes no row.
     """
     blocks = members.groupBy("part", "n_blocks", "block").agg(
@@ -195,8 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         connected_components(near, "candidates").select("node", F.col("component").alias("part"))
         .join(sets.drop("bands"), "node"), "parts")
     sizes = staged(
-        parts.groupBy("part").agg(F.greatest(
-            F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("n_blocks")), "part_sizes")
+        parts.groupBy("part").agg(F.least(F.count("*"), F.greatest(
+            F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_grams") / block_grams))).cast("int").alias("n_blocks")), "part_sizes")
     placed = parts.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
 
     table = docs.sparkSession.sparkContext.broadcast(word_table())

@@ -91,3 +91,15 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 102), (101, 103), (5, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 104)}}
+
+
+def test_long_near_copies_are_few_blocks(spark, monkeypatch):
+    """Two long texts make two blocks at most, however many n-grams they have."""
+    seen = []
+    units = ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda members: seen.append(members) or units(members))
+    long = [str(k) for k in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[:-3] + ["x"]))], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs, block_grams=100).collect())
+    assert got == [(1, 1, 1), (2, 1, 1)]
+    assert {r.n_blocks for r in seen[0].select("n_blocks").collect()} <= {1, 2}
