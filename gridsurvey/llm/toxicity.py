@@ -33,7 +33,7 @@ PREFIXES = (4, 5)
 LEARN_ROWS = 20_000
 #: A bucket takes part if at least so many texts have it and it is so many standard errors off the base rate.
 LEAST_TEXTS, LEAST_ERRORS = 5, 5.0
-#: Two words are looked at together up to so many words apart, if each is in so many texts but not in more than such a share.
+#: Two words are looked at together up to so many words apart, if both stand so in so many texts and neither is in more than such a share.
 NEAR, LEAST_PAIR_TEXTS, MOST_PAIR_SHARE = 6, 20, 0.5
 #: At most so many terms of a sampled text reach the driver, those seen most often in it.
 MOST_TERMS = 4096
@@ -182,7 +182,7 @@ def _pair_buckets(sample: DataFrame, counted: DataFrame, texts: int, share: floa
 
     pairs = sample.select("label", "order").mapInPandas(near, "label int, pairs array<bigint>")
     tallies = pairs.select("label", F.explode("pairs").alias("pair")).groupBy("pair").agg(
-        F.count("*").alias("n"), F.sum("label").alias("bad")).filter(F.col("n") >= LEAST_TEXTS)
+        F.count("*").alias("n"), F.sum("label").alias("bad")).filter(F.col("n") >= LEAST_PAIR_TEXTS)
     split = tallies.select("n", "bad", F.shiftright("pair", BITS).cast("int").alias("a"), (F.col("pair") % (1 << BITS)).cast("int").alias("b"))
     own = {c: counted.select(F.col("bucket").alias(c), (F.col("bad") / F.col("n")).alias(f"{c}_share")) for c in ("a", "b")}
     joined = split.join(own["a"], "a").join(own["b"], "b")
