@@ -29,9 +29,10 @@ def _lines(text: Column) -> Column:
     """(level, body) of each line; control characters that mark paragraphs below are dropped first."""
     clean = F.translate(F.coalesce(text, F.lit("")), _BREAK + _MARK + "\r", "")
     split = F.split(clean, "\n", -1)
-    return F.transform(split, lambda line: F.struct(
-        F.length(F.regexp_replace(F.regexp_extract(line, _PREFIX, 0), "[^>]", "")).alias("level"),
-        F.regexp_replace(line, _PREFIX, "").alias("body")))
+    return F.transform(split, lambda line: F.when(
+        F.ltrim(line, F.lit(" \t")).startswith(">"), F.struct(
+            F.length(F.regexp_replace(F.regexp_extract(line, _PREFIX, 0), "[^>]", "")).alias("level"),
+            F.regexp_replace(line, _PREFIX, "").alias("body"))).otherwise(F.struct(F.lit(0).alias("level"), line.alias("body"))))
 
 
 def _own_text(lines: Column) -> Column:
@@ -100,8 +101,9 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     base = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("raw"))
     parsed = base.withColumn("lines", _lines(F.col("raw"))).withColumn("paragraphs", _paragraphs(F.col("lines")))
-    each = parsed.filter("conv is not null and turn is not null").select("conv", "turn", F.explode("paragraphs").alias("p")).select(
-        "conv", "turn", "p.level", "p.h1", "p.h2")
+    each = parsed.filter("conv is not null and turn is not null").select("conv", "turn", F.explode("paragraphs").alias("p"))
+    # Three steps below read the hashes, which are a small part of the texts.
+    each = staged(each.select("conv", "turn", "p.level", "p.h1", "p.h2"), "quote_paragraphs")
     quoted = each.filter("level > 0")
     linked = staged(_originals(each.filter("level = 0"), quoted), "quote_links")
     by_message = staged(linked.groupBy("conv", "turn").agg(
@@ -120,7 +122,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         if chains.filter("moved").isEmpty():
             break
     ends = by_message.join(chains.drop("moved"), ["conv", "turn"])
-    quotes = F.filter("paragraphs", lambda p: p["level"] > 0)
+    # Texts without a quoted line are not cut into paragraphs a second time.
+    none = F.filter(F.array(F.struct(F.lit(0).alias("level"), F.lit("").alias("text"), F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2"))), lambda p: p["level"] > 0)
+    has_quote = F.exists("lines", lambda line: line["level"] > 0)
+    quotes = F.when(has_quote, F.filter(_paragraphs(F.col("lines")), lambda p: p["level"] > 0)).otherwise(none)
     full = parsed.withColumn("text", _own_text(F.col("lines"))).withColumn("quotes", quotes).drop("lines", "paragraphs", "raw")
     out = full.join(ends, ["conv", "turn"], "left")
     found = F.coalesce("found", F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
