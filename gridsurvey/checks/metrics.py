@@ -670,6 +670,27 @@ def bbox(spark, sf):
     return df.select(*[F.round(c, 3).alias(c) for c in df.columns])
 
 
+@query(
+    "bbox_ground",
+    with_views(
+        f"""SELECT pba3_block, round(west, 6) AS xmin, round(south, 6) AS ymin,
+  round(CASE WHEN place <= -180 THEN place + 360 WHEN place > 180 THEN place - 360 ELSE place END, 6) AS xmax, round(north, 6) AS ymax
+FROM (SELECT *, west - place AS gap FROM (SELECT *, greatest(coalesce(max(east) OVER (PARTITION BY pba3_block ORDER BY west, east
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000), max(east) OVER (PARTITION BY pba3_block) - 360) AS place,
+    min(latitude) OVER (PARTITION BY pba3_block) - degrees(angle) AS south, max(latitude) OVER (PARTITION BY pba3_block) + degrees(angle) AS north
+  FROM (SELECT *, longitude - half AS west, longitude + half AS east FROM (
+    SELECT *, degrees(asin(sin(angle) / cos(radians(latitude)))) AS half FROM (
+      SELECT DISTINCT pba3_block, longitude, latitude, 1000 / {spatial.EARTH_RADIUS}::DOUBLE AS angle FROM sightings )))))
+QUALIFY row_number() OVER (PARTITION BY pba3_block ORDER BY gap DESC, west) = 1""",
+        "sightings",
+    ),
+)
+def bbox_ground(spark, sf):
+    """The map extent of each block, a kilometre on the ground around its points."""
+    df = spatial.ground_extent(_effort(spark, sf), "longitude", "latitude", 1000.0, ["pba3_block"])
+    return df.select("pba3_block", *[r6(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
 @query(
     "win_max_filter",
     with_views(

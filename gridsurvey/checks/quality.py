@@ -62,6 +62,33 @@ def dq_coverage(spark, sf):
     return quality.coverage_report(_effort(spark, sf), fx.blocks(spark, sf), ["pba3_block"])
 
 
+@query(
+    "dq_keys",
+    with_views(
+        """WITH checks AS (
+  SELECT 'checklist' AS "check", count(*) AS failures FROM (SELECT 1 FROM sightings GROUP BY checklist_id HAVING count(*) > 1)
+  UNION ALL SELECT 'place and start', count(*) FROM (SELECT 1 FROM sightings GROUP BY observation_datetime, longitude, latitude HAVING count(*) > 1)
+  UNION ALL SELECT 'checklist_id -> observation_datetime', count(*) FROM (SELECT 1 FROM (SELECT DISTINCT checklist_id, observation_datetime FROM sightings )
+    WHERE checklist_id IS NOT NULL GROUP BY checklist_id HAVING count(*) > 1)
+  UNION ALL SELECT 'observation_datetime -> checklist_id', count(*) FROM (SELECT 1 FROM (SELECT DISTINCT checklist_id, observation_datetime FROM sightings )
+    GROUP BY observation_datetime HAVING count(*) > 1)
+  UNION ALL SELECT 'all in blocks', count(*) FROM (SELECT pba3_block FROM sightings EXCEPT SELECT pba3_block FROM blocks )
+  UNION ALL SELECT 'all of blocks', count(*) FROM (SELECT pba3_block FROM blocks EXCEPT SELECT pba3_block FROM sightings ))
+SELECT "check", failures, failures = 0 AS ok FROM checks""",
+        "sightings",
+        "blocks",
+    ).replace("\nWITH checks AS (", ",\nchecks AS ("),
+)
+def dq_keys(spark, sf):
+    """Six checks of the sightings' keys over one reading."""
+    return quality.key_reports(
+        _effort(spark, sf),
+        {"checklist": ["checklist_id"], "place and start": ["observation_datetime", "longitude", "latitude"]},
+        [("checklist_id", "observation_datetime")],
+        {"blocks": (fx.blocks(spark, sf), ["pba3_block"])},
+    )
+
+
 @query(
     "dq_dupes_flag",
     with_views(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import only_in_left
@@ -34,6 +34,66 @@ def coverage_report(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return one("all of a in b", a, b).unionByName(one("all of b in a", b, a))
 
 
+def key_reports(
+    df: DataFrame,
+    unique: dict[str, list[str]] | None = None,
+    one_to_one: list[tuple[str, str]] | None = None,
+    covered: dict[str, tuple[DataFrame, list[str]]] | None = None,
+) -> DataFrame:
+    """(check, failures, ok) for many candidate keys of one table, which is read once.
+
+    ``unique`` names key columns that must not repeat. ``one_to_one`` pairs give two
+    checks each: values with several partners, a missing value being a partner
+    like any other, and missing left values not being looked at. ``covered``
+    names another table with the same key columns and gives two checks: keys
+    of ``df`` that it lacks, and its keys that ``df`` lacks.
+
+    All keys are grouping sets of one aggregation, so there is one exchange
+    however many checks there are. A value has several partners if the least and
+    the largest differ or only some are missing: no set of them is kept.
+    """
+    unique, pairs, covered = unique or {}, one_to_one or [], covered or {}
+    sets = [*unique.values(), *[[c] for pair in pairs for c in pair], *[keys for _, keys in covered.values()]]
+    cols = list(dict.fromkeys(c for keys in sets for c in keys))
+    if not sets:
+        raise ValueError("no checks are asked for")
+    rows = df.select(*cols, F.lit(0).alias("__side"))
+    for i, (other, keys) in enumerate(covered.values(), 1):
+        rows = rows.unionByName(other.select(*keys, F.lit(i).alias("__side")), allowMissingColumns=True)
+
+    def level(keys: list[str]) -> Column:
+        """Rows of this grouping set: one bit per column, set where the column is not in the key."""
+        return F.col("__set") == sum(1 << i for i, c in enumerate(reversed(cols)) if c not in keys)
+
+    here = F.col("__side") == 0
+    partners = {}
+    for i, (a, b) in enumerate(pairs):
+        for name, c in ((f"__{i}a", b), (f"__{i}b", a)):
+            value = F.when(here, F.col(c))
+            known = F.count(value)
+            partners[name] = (F.min(value) < F.max(value)) | ((known > 0) & (known < F.count_if(here)))
+    distinct_sets = list(dict.fromkeys(tuple(keys) for keys in sets))
+    grouped = rows.groupingSets([[F.col(c) for c in keys] for keys in distinct_sets], *[F.col(c) for c in cols]).agg(
+        F.grouping_id().alias("__set"),
+        F.count_if(here).alias("__n"),
+        *[F.coalesce(several, F.lit(False)).alias(name) for name, several in partners.items()],
+        *[F.max(F.col("__side") == i).alias(f"__in{i}") for i in range(1, len(covered) + 1)],
+    )
+    found = F.col("__n") > 0
+    failures: dict[str, Column] = {name: level(keys) & (F.col("__n") > 1) for name, keys in unique.items()}
+    for i, (a, b) in enumerate(pairs):
+        failures[f"{a} -> {b}"] = level([a]) & F.col(a).isNotNull() & F.col(f"__{i}a")
+        failures[f"{b} -> {a}"] = level([b]) & F.col(f"__{i}b")
+    for i, (name, (_, keys)) in enumerate(covered.items(), 1):
+        failures[f"all in {name}"] = level(keys) & found & ~F.col(f"__in{i}")
+        failures[f"all of {name}"] = level(keys) & ~found & F.col(f"__in{i}")
+    counts = grouped.agg(*[F.count_if(failed).alias(f"__f{i}") for i, failed in enumerate(failures.values())])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("check"), F.col(f"__f{i}").alias("failures"), (F.col(f"__f{i}") == 0).alias("ok"))
+        for i, name in enumerate(failures)
+    ])))
+
+
 def same_times_report(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Do timestamps keep type and value through a write and read: one row per column."""
     types_before, types_after = dict(before.dtypes), dict(after.dtypes)

@@ -7,16 +7,22 @@ columns.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import mercator_x, mercator_y
 from ..lookups import BLOCK_OVERRIDES
 from .metrics import BLOCK
 
+#: Metres from the centre to the surface of the sphere on which ground distances are taken.
+EARTH_RADIUS = 6371010.0
+#: Degrees of longitude; narrower gaps do not split an extent.
+FINEST_GAP = 0.01
+
 
 def as_point(df: DataFrame, x: str = "longitude", y: str = "latitude", srid: int = 4326) -> DataFrame:
     """A point struct with its reference system."""
@@ -38,6 +44,56 @@ def bounding_box(df: DataFrame, x: str, y: str, buffer: float = 0.0) -> DataFram
     )
 
 
+def ground_extent(df: DataFrame, x: str, y: str, metres: float = 0.0, groups: list[str] | None = None) -> DataFrame:
+    """(groups, xmin, ymin, xmax, ymax): extent in degrees of all that lies within ``metres`` of a group's points.
+
+    Distances are on a sphere. ``xmin`` and ``xmax`` are the ends of the
+    smallest arc of longitudes that holds the circles around all points, so
+    ``xmin > xmax`` if it crosses the date line. A group with a circle that
+    reaches a pole spans all longitudes, as does one whose circles leave no gap
+    of ``FINEST_GAP``. Points that lack a coordinate or lie off the globe are not
+    looked at; without groups no points give one row of nulls.
+
+    The arcs of a group are reduced to one per ``FINEST_GAP`` of longitude before
+    the window, which so holds at most 36,000 rows: a wider gap always lies
+    between two of them.
+    """
+    groups = groups or []
+    radius = float(metres) / EARTH_RADIUS
+    lon, lat = F.col(x).cast("double"), F.col(y).cast("double")
+    polar = F.abs(lat) + math.degrees(radius) >= 90
+    half = F.degrees(F.asin(F.lit(math.sin(radius)) / F.cos(F.radians(lat))))
+    arcs = df.filter(lon.between(-360, 360) & lat.between(-90, 90)).select(
+        *groups,
+        lat.alias("__lat"),
+        F.when(polar, -180.0).otherwise(F.pmod(lon - half + 180, F.lit(360.0)) - 180).alias("__west"),
+        F.when(polar, 360.0).otherwise(2 * half).alias("__width"),
+    )
+    cells = arcs.groupBy(*groups, F.floor(F.col("__west") / FINEST_GAP).alias("__cell")).agg(
+        F.min("__west").alias("__west"),
+        F.max(F.col("__west") + F.col("__width")).alias("__east"),
+        F.min("__lat").alias("__south"),
+        F.max("__lat").alias("__north"),
+    )
+    group = Window.partitionBy(*groups)
+    before = F.max("__east").over(group.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    ends = cells.withColumn("__end", F.greatest(before, F.max("__east").over(group) - 360))
+    widest = ends.withColumn("__gap", F.col("__west") - F.col("__end")).groupBy(*groups).agg(
+        F.max_by(F.struct("__west", "__end"), F.struct(F.col("__gap"), -F.col("__west"))).alias("__arc"),
+        F.max("__gap").alias("__gap"),
+        F.greatest(F.min("__south") - math.degrees(radius), F.lit(-90.0)).alias("ymin"),
+        F.least(F.max("__north") + math.degrees(radius), F.lit(90.0)).alias("ymax"),
+    )
+    whole, end = F.col("__gap") < FINEST_GAP, F.col("__arc.__end")
+    return widest.select(
+        *groups,
+        F.when(whole, -180.0).otherwise(F.col("__arc.__west")).alias("xmin"),
+        "ymin",
+        F.when(whole, 180.0).when(end <= -180, end + 360).when(end > 180, end - 360).otherwise(end).alias("xmax"),
+        F.when(F.col("__gap").isNotNull(), F.col("ymax")).alias("ymax"),
+    ).withColumn("ymin", F.when(F.col("xmin").isNotNull(), F.col("ymin")))
+
+
 def _ring_edges(ring: Column) -> Column:
     closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(
         F.concat(ring, F.array(F.element_at(ring, 1)))
