@@ -128,6 +128,33 @@ def src_polygons(spark, sf):
     )
 
 
+@query(
+    "src_shapefile",
+    with_views(
+        """SELECT pba2_block::BIGINT AS block, 'Block ' || pba2_block::VARCHAR AS label, round(x0 / 2, 6) AS west,
+  CASE WHEN pba2_block % 3 <> 0 THEN (x1 - x0) * (y1 - y0) * CASE WHEN pba2_block % 2 = 0 THEN 2 ELSE 0.75 END END::DOUBLE AS area,
+  CASE WHEN pba2_block % 3 <> 0 THEN 10 END::BIGINT AS vertices FROM polygons""",
+        "polygons",
+    ),
+)
+def src_shapefile(spark, sf):
+    """The squares of ``src_polygons``, every third without a shape, written as shapefiles and read in ranges of records."""
+    path = scratch_path(spark, "shapes")
+    corner = F.element_at("ring", 1)
+    square = lambda x, y, side: F.array(*[
+        F.struct((x + dx * side).alias("x"), (y + dy * side).alias("y")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    other = F.when(F.col("pba2_block") % 2 == 0, square(corner.x + 100, corner.y, 0.5)).otherwise(square(corner.x + 0.125, corner.y + 0.125, 0.25))
+    shapes = fx.polygons(spark, sf).select(
+        F.col("pba2_block").cast("bigint").alias("block"), F.concat(F.lit("Block "), F.col("pba2_block").cast("string")).alias("label"),
+        (corner.x / 2).alias("west"), F.when(F.col("pba2_block") % 3 != 0, F.array(square(corner.x, corner.y, 0.5), other)).alias("rings"))
+    writers.write_shapefile(shapes, path)
+    df = readers.read_shapefile(spark, path, partition_bytes=1024)
+    # Outlines run clockwise and holes do not, so the signed areas add up to the area.
+    area = F.aggregate("rings", F.lit(0.0), lambda sum_, ring: sum_ - F.aggregate(
+        F.zip_with(F.slice(ring, 1, 4), F.slice(ring, 2, 4), lambda a, b: a.x * b.y - b.x * a.y), F.lit(0.0), lambda s, v: s + v) / 2)
+    return df.select("block", "label", r6("west").alias("west"), r6(area).alias("area"), F.size(F.flatten("rings")).cast("bigint").alias("vertices"))
+
+
 @query(
     "sink_polygons",
     with_views(

@@ -130,6 +130,11 @@ def _area(ring: Column) -> Column:
     return F.abs(F.aggregate(_ring_edges(ring), F.lit(0.0), lambda sum_, e: sum_ + e.x1 * e.y2 - e.x2 * e.y1)) / 2
 
 
+def is_clockwise(ring: Column) -> Column:
+    """True for a ring whose area lies to the right of its edges."""
+    return F.aggregate(_ring_edges(ring), F.lit(0.0), lambda sum_, e: sum_ + e.x1 * e.y2 - e.x2 * e.y1) < 0
+
+
 def ring_parts(rings: Column) -> Column:
     """Rings as parts: an array of arrays whose first ring is an outline and whose others are its holes.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shapefile
+
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Lazy scan; filters and column choices of later operators reach it."""
@@ -91,3 +93,10 @@ def read_polygons(spark: SparkSession, path: str, id_property: str, out: str = "
     return features.select(block.alias(out), rings.alias("rings")).select(
         out, F.get("rings", F.lit(0)).alias("ring"), "rings"
     )
+
+
+def read_shapefile(spark: SparkSession, path: str, partition_bytes: int | None = None, encoding: str = "utf-8") -> DataFrame:
+    """Attributes and ``rings`` of the polygons in a shapefile or a folder of them, in ranges of records; missing shapes have null rings."""
+    spark.dataSource.register(shapefile.Shapefile)
+    reader = spark.read.format("shapefile").option("encoding", encoding)
+    return (reader.option("partitionBytes", partition_bytes) if partition_bytes else reader).load(path)

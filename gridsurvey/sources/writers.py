@@ -7,7 +7,8 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spatial import ring_parts
+from ..operators.spatial import is_clockwise, ring_parts
+from . import shapefile
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -49,6 +50,21 @@ def write_polygons(df: DataFrame, path: str, id_property: str) -> None:
     parts.select(feature.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_shapefile(df: DataFrame, path: str, append: bool = False) -> None:
+    """``rings`` as polygons and the other columns as attributes, in one set of files per task.
+
+    Outlines run clockwise and holes counter-clockwise; which ring is which is
+    told as in :func:`write_polygons`. Null or no rings are a missing shape.
+    Empty texts and blanks at the ends of texts do not come back. Names over 10
+    letters and texts over 254 bytes are refused, not cut.
+    """
+    df.sparkSession.dataSource.register(shapefile.Shapefile)
+    parts = F.transform(ring_parts(F.col("rings")), lambda part: F.transform(part, lambda ring, i: F.when(
+        is_clockwise(ring) == (i == 0), ring).otherwise(F.reverse(ring))))
+    out = df.withColumn("rings", F.when(F.size("rings") > 0, F.flatten(parts)))
+    out.write.format("shapefile").mode("append" if append else "overwrite").save(path)
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written under ``path`` in buckets of ``key``, sorted by it, and read back by its bucketing.
 
