@@ -35,6 +35,8 @@ LEARN_ROWS = 20_000
 LEAST_TEXTS, LEAST_ERRORS = 5, 5.0
 #: Two words are looked at together up to so many words apart, if both stand so in so many texts and neither is in more than such a share.
 NEAR, LEAST_PAIR_TEXTS, MOST_PAIR_SHARE = 6, 20, 0.5
+#: A task counts pairs itself before the shuffle, so many at a time.
+PAIRS_HELD = 1 << 21
 #: At most so many terms of a sampled text reach the driver, those seen most often in it.
 MOST_TERMS = 4096
 FACTORS, EPOCHS, RATE, SHRINK, SEED = 8, 12, 0.1, 1e-3, 7
@@ -147,7 +149,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     plain = sample.drop("order")
     few = plain.mapInPandas(keep_chosen, plain.schema)
-    rows_ = [(r["label"], np.array(r["buckets"], np.int64), np.array(r["times"], float)) for r in few.orderBy("place").collect()]
+    rows_ = [(r["label"], np.array(r["buckets"], np.int64), np.array(r["times"], float)) for r in sorted(few.collect(), key=lambda r: (r["place"], r["label"]))]
     return fit(rows_, chosen)
 
 
@@ -168,21 +170,30 @@ def _pair_buckets(sample: DataFrame, counted: DataFrame, texts: int, share: floa
     shared = sample.sparkSession.sparkContext.broadcast(usable)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            pairs = []
-            for order in batch["order"]:
+            for label, order in zip(batch["label"], batch["order"], strict=True):
                 order = np.asarray(order, np.int64)
                 use = np.isin(order, shared.value)
                 both = [np.zeros(0, np.int64)]
                 for d in range(1, min(NEAR, len(order) - 1) + 1):
                     a, b, ok = order[:-d], order[d:], use[:-d] & use[d:]
                     both.append((np.minimum(a, b)[ok] << BITS) + np.maximum(a, b)[ok])
-                pairs.append(np.unique(np.concatenate(both)))
-            yield pd.DataFrame({"label": batch["label"], "pairs": pairs})
-
-    pairs = sample.select("label", "order").mapInPandas(near, "label int, pairs array<bigint>")
-    tallies = pairs.select("label", F.explode("pairs").alias("pair")).groupBy("pair").agg(
-        F.count("*").alias("n"), F.sum("label").alias("bad")).filter(F.col("n") >= LEAST_PAIR_TEXTS)
+                held.append(2 * np.unique(np.concatenate(both)) + int(label))
+                size += len(held[-1])
+                if size >= PAIRS_HELD:
+                    yield tally(held)
+                    held, size = [], 0
+        if held:
+            yield tally(held)
+
+    def tally(held: list[np.ndarray]) -> pd.DataFrame:
+        """Texts that hold each pair, and toxic ones among them; the last bit of what is held is the label."""
+        marked, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"pair": marked >> 1, "n": n, "bad": n * (marked & 1)})
+
+    pairs = sample.select("label", "order").mapInPandas(near, "pair bigint, n bigint, bad bigint")
+    tallies = pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("n") >= LEAST_PAIR_TEXTS)
     split = tallies.select("n", "bad", F.shiftright("pair", BITS).cast("int").alias("a"), (F.col("pair") % (1 << BITS)).cast("int").alias("b"))
     own = {c: counted.select(F.col("bucket").alias(c), (F.col("bad") / F.col("n")).alias(f"{c}_share")) for c in ("a", "b")}
     joined = split.join(own["a"], "a").join(own["b"], "b")
