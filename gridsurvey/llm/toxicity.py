@@ -140,8 +140,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def keep_chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chosen_at = np.zeros(1 << BITS, bool)
+        chosen_at[shared.value] = True
         for batch in batches:
-            kept = [np.flatnonzero(np.isin(b, shared.value)) for b in batch["buckets"]]
+            kept = [np.flatnonzero(chosen_at[np.asarray(b, np.int64)]) for b in batch["buckets"]]
             kept = [np.sort(k[np.argsort(-t[k], kind="stable")[:MOST_TERMS]]) for k, t in zip(kept, batch["times"], strict=True)]
             batch["buckets"] = [b[k] for b, k in zip(batch["buckets"], kept, strict=True)]
             batch["times"] = [t[k] for t, k in zip(batch["times"], kept, strict=True)]
@@ -170,11 +172,13 @@ def _pair_buckets(sample: DataFrame, counted: DataFrame, texts: int, share: floa
     shared = sample.sparkSession.sparkContext.broadcast(usable)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        usable_at = np.zeros(1 << BITS, bool)
+        usable_at[shared.value] = True
         held, size = [], 0
         for batch in batches:
             for label, order in zip(batch["label"], batch["order"], strict=True):
                 order = np.asarray(order, np.int64)
-                use = np.isin(order, shared.value)
+                use = usable_at[order]
                 both = [np.zeros(0, np.int64)]
                 for d in range(1, min(NEAR, len(order) - 1) + 1):
                     a, b, ok = order[:-d], order[d:], use[:-d] & use[d:]
