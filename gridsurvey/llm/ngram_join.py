@@ -6,9 +6,12 @@
 2. A shuffle on band hashes links each representative to the smallest one in
    each of its buckets; the connected parts of that graph hold every pair that
    shares a bucket. So a bucket of any size costs one row per member.
-3. Each part's full sets meet in blocks of bounded size; every pair of blocks
-   is one row and is checked as a matrix product. Only counts of links and a
-   spanning forest leave the task, never all pairs of a group.
+3. The full sets meet in blocks of bounded size, by part or by bucket, whichever
+   sends fewer sets: a dense group meets once as a part, a long chain of texts
+   that resemble their neighbours only meets bucket by bucket, each pair judged
+   in the least bucket that it shares. Every pair of blocks is one row and is
+   checked as a matrix product. Only counts of links and a spanning forest
+   leave the task, never all pairs of a group.
 4. Connected components over the forests give the classes of near duplicates.
 """
 
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -122,47 +125,94 @@ def linked(left: list, right: list | None, threshold: float) -> np.ndarray:
     return out
 
 
+def _to_judge(bands: list[list[int] | None], first: int | None, band: int | None) -> np.ndarray:
+    """Which two members a row judges: of two blocks, ``first`` in the one, only those across; of a bucket, those that share no lesser one."""
+    todo = ~np.eye(len(bands), dtype=bool)
+    if first is not None:
+        todo[:first, :first] = todo[first:, first:] = False
+    if band is not None:
+        lesser = [[b for b in own if b < band] for own in bands]
+        columns = {b: at for at, b in enumerate({b for own in lesser for b in own})}
+        inside = np.zeros((len(bands), len(columns)), np.float32)
+        for i, own in enumerate(lesser):
+            inside[i, [columns[b] for b in own]] = 1
+        todo &= inside @ inside.T == 0
+    return todo
+
+
 def _check_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per member of a row of one or two blocks: documents linked across the row, and a member it is connected to."""
     for batch in batches:
         nodes, n_links, roots = [], [], []
         for at in range(batch.num_rows):  # one row in Python objects at a time
             parts = batch.column(0)[at].as_py()
-            blocks = [[(m["node"], m["weight"], np.frombuffer(m["grams"], np.uint64)) for m in p] for p in parts]
-            sides = [[m[2] for m in b] for b in blocks]
-            if len(blocks) == 1:
-                links = linked(sides[0], None, threshold)
-                members = blocks[0]
+            members = [m for p in parts for m in p]
+            first = len(parts[0]) if len(parts) == 2 else None
+            todo = _to_judge([m["bands"] for m in members], first, batch.column(1)[at].as_py())
+            some = todo.any(axis=1)
+            if not some.any():
+                continue
+            members, todo = [m for m, s in zip(members, some, strict=True) if s], todo[np.ix_(some, some)]
+            sets = [np.frombuffer(m["grams"], np.uint64) for m in members]
+            if first is None:
+                links = linked(sets, None, threshold)
             else:
-                across = linked(sides[0], sides[1], threshold)
-                members = blocks[0] + blocks[1]
+                first = int(some[:first].sum())
                 links = np.zeros((len(members), len(members)), bool)
-                links[: len(sides[0]), len(sides[0]) :] = across
-                links[len(sides[0]) :, : len(sides[0])] = across.T
-            counts = links @ np.array([m[1] for m in members], np.int64)
+                links[:first, first:] = linked(sets[:first], sets[first:], threshold)
+                links |= links.T
+            links &= todo
+            counts = links @ np.array([m["weight"] for m in members], np.int64)
             label = forest(links)
             for i in np.flatnonzero(counts):
-                nodes.append(members[i][0])
+                nodes.append(members[i]["node"])
                 n_links.append(int(counts[i]))
-                roots.append(members[label[i]][0])
+                roots.append(members[label[i]]["node"])
         yield pa.RecordBatch.from_arrays(
             [pa.array(nodes, pa.binary()), pa.array(n_links, pa.int64()), pa.array(roots, pa.binary())], ["node", "n_links", "root"])
 
 
+def _blocks(grams: Column, block_sets: int, block_grams: int) -> Column:
+    """Blocks that the sets of a group take, never more than sets."""
+    sets = F.count("*")
+    return F.least(sets, F.greatest(F.ceil(sets / block_sets), F.ceil(F.sum(grams) / block_grams))).cast("int")
+
+
+def _places(near: DataFrame, leads: DataFrame, parts: DataFrame, block_sets: int, block_grams: int) -> DataFrame:
+    """(node, first_id, weight, units): the groups in which each set meets others.
+
+    A part of b blocks sends each of its sets to b rows. If its buckets, of b blocks each by
+    the same rule, send fewer in all, its sets meet in these.
+    """
+    own = parts.groupBy("part").agg(F.count("*").alias("n"), _blocks(F.col("n_grams"), block_sets, block_grams).alias("n_blocks"))
+    by_bucket = leads.join(parts.select(F.col("node").alias("lead"), "part"), "lead").groupBy("part").agg(
+        F.sum(F.col("c") * F.col("n_blocks")).alias("sent"))
+    sizes = staged(own.join(by_bucket, "part").select(
+        "part", "n_blocks", ((F.col("n_blocks") > 1) & (F.col("sent") < F.col("n") * F.col("n_blocks"))).alias("by_bucket")), "part_sizes")
+    placed = parts.join(sizes, "part")
+    whole = placed.filter("not by_bucket").select(
+        "node", "first_id", "weight", F.array(F.struct("part", "n_blocks", F.lit(None).cast("bigint").alias("band"))).alias("units"))
+    # Eight bytes name a bucket and sixteen a part, so they never meet.
+    bucket = F.struct(F.unhex(F.lpad(F.hex("band"), 16, "0")).alias("part"), "n_blocks", "band")
+    dealt = near.select(F.col("a").alias("node"), bucket.alias("unit")).join(
+        placed.filter("by_bucket").select("node", "first_id", "weight"), "node")
+    return whole.union(dealt.groupBy("node", "first_id", "weight").agg(F.collect_list("unit").alias("units")))
+
+
 def _units(members: DataFrame) -> DataFrame:
-    """Rows of one block, or of two blocks of the same part: every two members of a part meet in one row.
+    """Rows of one block, or of two blocks of the same part or bucket: every two members meet in one row.
 
-    A part of b blocks, never more than members, sends each of its blocks to b rows. Blocks are dealt by
-    a hash and may be empty; a block that meets an empty one makes no row.
+    Of b blocks, each is sent to b rows. Blocks are dealt by a hash and may be empty; a block that
+    meets an empty one makes no row.
     """
-    blocks = members.groupBy("part", "n_blocks", "block").agg(
-        F.collect_list(F.struct("node", "weight", "grams")).alias("members"))
-    single = blocks.filter("n_blocks = 1").select(F.array("members").alias("parts"))
+    blocks = members.groupBy("part", "n_blocks", "band", "block").agg(
+        F.collect_list(F.struct("node", "weight", "grams", "bands")).alias("members"))
+    single = blocks.filter("n_blocks = 1").select(F.array("members").alias("parts"), "band")
     several = blocks.filter("n_blocks > 1").withColumn(
         "other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
-    paired = several.groupBy("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
+    paired = several.groupBy("part", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
         F.collect_list("members").alias("parts")).filter("i = j or size(parts) = 2")
-    return single.union(paired.select("parts"))
+    return single.union(paired.select("parts", "band"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS_PER_GRAM,
@@ -187,33 +237,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.first("n_grams").alias("n_grams"),
             F.first("bands").alias("bands")), "sets")
 
-    banded = sets.select("node", F.explode("bands").alias("band"))
+    banded = sets.select("node", "n_grams", F.explode("bands").alias("band"))
     leads = staged(
-        banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c"), "leads")
-    near = banded.join(leads, "band").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        banded.groupBy("band").agg(
+            F.min("node").alias("lead"), F.count("*").alias("c"),
+            _blocks(F.col("n_grams"), block_sets, block_grams).alias("n_blocks")).filter("c > 1"), "leads")
+    near = staged(banded.join(leads, "band").select(F.col("node").alias("a"), F.col("lead").alias("b"), "band", "n_blocks"), "near")
     parts = staged(
         connected_components(near, "candidates").select("node", F.col("component").alias("part"))
         .join(sets.drop("bands"), "node"), "parts")
-    sizes = staged(
-        parts.groupBy("part").agg(F.least(F.count("*"), F.greatest(
-            F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_grams") / block_grams))).cast("int").alias("n_blocks")), "part_sizes")
-    placed = parts.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
+    placed = _places(near, leads, parts, block_sets, block_grams)
 
     table = docs.sparkSession.sparkContext.broadcast(word_table())
+    shape = "node binary, weight bigint, units array<struct<part:binary,n_blocks:int,band:bigint>>"
 
-    def with_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(table.value)
         for batch in batches:
-            grams = [gram_set(t, words, n) for t in batch["text"]]
-            same = np.array([set_key(g) == node for g, node in zip(grams, batch["node"], strict=True)], bool)
-            out = batch.drop(columns="text").assign(grams=[g.tobytes() for g in grams])
-            yield out[same]
+            node, weight, units, texts = batch.columns
+            grams = [gram_set(t.as_py(), words, n) for t in texts]
+            same = pa.array([set_key(g) == k for g, k in zip(grams, node.to_pylist(), strict=True)], pa.bool_())
+            held = pa.array([g.tobytes() for g in grams], pa.binary())
+            yield pa.RecordBatch.from_arrays([node, weight, units, held], ["node", "weight", "units", "grams"]).filter(same)
 
     # The text of one row of each set, whatever else carries its id.
-    texts = docs.join(placed.withColumnRenamed("first_id", "doc_id"), "doc_id").select(
-        "part", "n_blocks", "block", "node", "weight", "text")
-    members = texts.mapInPandas(
-        with_grams, "part binary, n_blocks int, block int, node binary, weight bigint, grams binary").dropDuplicates(["part", "n_blocks", "block", "node"])
+    texts = docs.join(placed.withColumnRenamed("first_id", "doc_id"), "doc_id").select("node", "weight", "units", "text")
+    met = texts.mapInArrow(with_grams, f"{shape}, grams binary").select(
+        "node", "weight", "grams", F.col("units.band").alias("all_bands"), F.explode("units").alias("unit"))
+    members = met.select(
+        "unit.*", F.pmod(F.xxhash64("node"), "unit.n_blocks").cast("int").alias("block"), "node", "weight", "grams",
+        F.when(F.col("unit.band").isNotNull(), F.col("all_bands")).alias("bands")).dropDuplicates(["part", "n_blocks", "block", "node"])
     checked = staged(
         _units(members).mapInArrow(lambda it: _check_blocks(it, threshold), "node binary, n_links bigint, root binary"), "links")
 

@@ -63,6 +63,22 @@ def test_blocks_without_members(spark):
     assert any(r.n_links for r in got)
 
 
+def test_long_chain_meets_by_bucket(spark, monkeypatch):
+    """A chain of texts like their neighbours only is sent by buckets, fewer sets than by blocks, each link counted once."""
+    r = random.Random(5)
+    words = [f"w{r.randrange(10**6)}" for _ in range(160 + 12 * 150)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 160])) for i in range(150)]
+    rows += [(1000 + i, t) for i, t in rows[::25]] + [(2000 + i, t) for i, t in enumerate(chain(9, 8))]
+    seen, units = [], ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda members: seen.append(members) or units(members))
+    docs = spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], SCHEMA)
+    got = ngram_join.near_duplicates(docs, block_sets=4).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)
+    by_bucket = seen[0].filter("band is not null")
+    assert 0 < by_bucket.count() < 150 * 150 // 4
+    assert by_bucket.select("node").distinct().count() >= 140
+
+
 def test_drop(spark):
     docs = spark.createDataFrame([(i, t, "clash", 0) for i, t in ROWS], SCHEMA)
     out = ngram_join.drop_near_duplicates(docs)
