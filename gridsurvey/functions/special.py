@@ -16,6 +16,8 @@ LGAMMA_SERIES = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
 DIGAMMA_SERIES = (-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132, 691 / 32760)
 TRIGAMMA_SERIES = (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730)
 SHIFT = 10
+#: Places of the sum for a tail of the beta distribution, per unit of its variable.
+PLACES_PER_UNIT = 8
 
 
 def _series(z: Column, coefficients: tuple[float, ...], first_power: Column) -> Column:
@@ -61,57 +63,66 @@ def ln_beta(a: Column, b: Column) -> Column:
     return ln_gamma(a) + ln_gamma(b) - ln_gamma(a + b)
 
 
-def _fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
-    """The continued fraction of the incomplete beta function by Lentz's method, ``steps`` pairs of terms."""
-    least = F.lit(1e-300)
+def _tail_places() -> list[tuple[float, float]]:
+    """Places and weights of a sum for the integral from 0 to infinity of functions that fall off exponentially.
 
-    def kept(v: Column) -> Column:
-        return F.when(F.abs(v) < least, least).otherwise(v)
+    The double exponential rule: v -> exp(v - exp(-v)), evenly spaced in v.
+    """
+    spread = ((v, math.exp(v - math.exp(-v))) for v in (k / PLACES_PER_UNIT for k in range(-4 * PLACES_PER_UNIT, 8 * PLACES_PER_UNIT + 1)))
+    return [(s, (1 + math.exp(-v)) * s / PLACES_PER_UNIT) for v, s in spread if s > 1e-18]
 
-    d0 = 1 / kept(1 - (a + b) * x / (a + 1))
-    first = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
 
-    def pair(state: Column, m: Column) -> Column:
-        # The one-element arrays bind what is used more than once.
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+def _ln_beta_cdf(u: Column, a: Column, b: Column) -> Column:
+    """(ln of the beta distribution function, ln of its slope in u) at x = 1 / (1 + exp(-u)).
 
-        def step(t: Column, c: Column, d: Column, h: Column) -> Column:
-            moved = F.struct(kept(1 + t / c).alias("c"), (1 / kept(1 + t * d)).alias("d"))
-            return F.transform(F.array(moved), lambda n: F.struct(n.c.alias("c"), n.d.alias("d"), (h * n.c * n.d).alias("h")))[0]
+    In u the density is log-concave and falls off exponentially on both sides,
+    so the tail away from its mode is one sum over fixed places, scaled by the
+    slope or the width of the density, however large a and b are.
+    """
+    left = u <= F.ln(a) - F.ln(b)
+    turned = F.struct(F.when(left, a).otherwise(b).alias("a"), F.when(left, b).otherwise(a).alias("b"), F.when(left, u).otherwise(-u).alias("u"))
+    places = F.expr("array(" + ", ".join(f"named_struct('s', {s!r}D, 'w', {w!r}D)" for s, w in _tail_places()) + ")")
 
-        half = F.transform(F.array(step(even, state.c, state.d, state.h)), lambda s: step(odd, s.c, s.d, s.h))
-        return half[0]
+    def scaled(t: Column) -> Column:
+        p = 1 / (1 + F.exp(-t.u))
+        steep = F.greatest(t.a - (t.a + t.b) * p, F.sqrt(t.a * t.b / (t.a + t.b)))
+        softplus = F.greatest(t.u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t.u)))
+        return F.struct(t.a.alias("a"), (t.a + t.b).alias("n"), p.alias("p"), (1 / steep).alias("unit"),
+                        (t.a * t.u - (t.a + t.b) * softplus - ln_beta(t.a, t.b)).alias("slope"))
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), steps), lambda m: m.cast("double")), first, pair, lambda s: s.h)
+    def tail(t: Column) -> Column:
+        def term(total: Column, place: Column) -> Column:
+            s = t.unit * place.s
+            return total + place.w * F.exp(-t.a * s - t.n * F.log1p(t.p * F.expm1(-s)))
 
+        return F.struct((t.slope + F.ln(t.unit * F.aggregate(places, F.lit(0.0), term))).alias("tail"), t.slope.alias("slope"))
 
-def beta_cdf(x: Column, a: Column, b: Column) -> Column:
-    """The regularised incomplete beta function for x in [0, 1] and positive a and b."""
-    turned = x > (a + 1) / (a + b + 2)
-    p, q, y = F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b), F.when(turned, 1 - x).otherwise(x)
-    # Terms needed grow with the root of the larger parameter.
-    steps = (F.lit(60) + 5 * F.sqrt(F.greatest(a, b))).cast("int")
-    bound = F.array(F.struct(p.alias("p"), q.alias("q"), y.alias("y"), steps.alias("steps")))
+    found = F.transform(F.transform(F.transform(F.array(turned), scaled), tail), lambda t: F.struct(
+        F.when(left, t.tail).otherwise(F.log1p(-F.least(F.exp(t.tail), F.lit(1 - 2.0**-53)))).alias("value"), t.slope.alias("slope")))
+    return found[0]
 
-    def value(v: Column) -> Column:
-        front = F.exp(v.p * F.ln(v.y) + v.q * F.log1p(-v.y) - ln_beta(v.p, v.q)) / v.p
-        return front * _fraction(v.p, v.q, v.y, v.steps)
 
-    inside = F.transform(bound, value)[0]
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(turned, 1 - inside).otherwise(inside))
+def beta_cdf(x: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function for x in [0, 1] and positive a and b."""
+    inside = F.exp(_ln_beta_cdf(F.ln(x) - F.log1p(-x), a, b).getField("value"))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
 
 
-def beta_quantile(level: float, a: Column, b: Column, halvings: int = 48) -> Column:
-    """The x at which ``beta_cdf`` is ``level``, by bisection to 2^-halvings."""
+def beta_quantile(level: float, a: Column, b: Column, steps: int = 16) -> Column:
+    """The x at which ``beta_cdf`` is ``level``, by Newton steps on the logarithm of the distribution function.
 
-    def halve(state: Column, _: Column) -> Column:
-        def split(middle: Column) -> Column:
-            below = beta_cdf(middle, a, b) < level
-            return F.when(below, F.struct(middle.alias("lo"), state.hi.alias("hi"))).otherwise(
-                F.struct(state.lo.alias("lo"), middle.alias("hi")))
+    That logarithm is concave in ln(x / (1 - x)): from the left no step goes
+    too far, and a step from the right ends on the left. The work is the same
+    for all a and b. Good to about 1e-10 for shapes of 0.05 and more, to 1e-6 for
+    lesser ones.
+    """
+    if level > 0.5:
+        return 1 - beta_quantile(1 - level, b, a, steps)
+    wanted = math.log(level)
+    # The greater of two starts, by the width of the density and by its left tail.
+    start = F.greatest(F.ln(a) - F.ln(b) - 2 * F.sqrt(1 / a + 1 / b), (wanted + F.ln(a) + ln_beta(a, b)) / a)
 
-        return F.transform(F.array((state.lo + state.hi) / 2), split)[0]
+    def step(u: Column, _: Column) -> Column:
+        return F.transform(F.array(_ln_beta_cdf(u, a, b)), lambda at: u + (wanted - at.value) * F.exp(at.value - at.slope))[0]
 
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve, lambda s: (s.lo + s.hi) / 2)
+    return 1 / (1 + F.exp(-F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)))

@@ -1,6 +1,7 @@
 """Special functions against known values, the prior against a search, intervals and densities against direct sums."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,23 @@ def test_density_adds_up_and_meets_the_direct_sum(spark):
             direct = sum(math.exp(-0.5 * ((x - v) / h) ** 2) for v in own) / (len(own) * h * math.sqrt(2 * math.pi))
             assert d == pytest.approx(direct, abs=1e-4)
     assert histogram.density(spark.createDataFrame([], "g int, v double"), "v", ["g"]).count() == 0
+
+
+def test_quantiles_of_large_shapes_cost_no_more(spark):
+    """Closed forms and the normal limit, in the time that small shapes take."""
+
+    def timed(rows):
+        df = spark.createDataFrame(rows, "a double, b double")
+        began = time.time()
+        got = df.select("a", "b", beta_quantile(0.025, F.col("a"), F.col("b")), beta_quantile(0.975, F.col("a"), F.col("b"))).collect()
+        return got, time.time() - began
+
+    timed([(2.0, 2.0)])  # the first call compiles
+    small, usual = timed([(0.5 + k, 1.0) for k in range(8)])
+    large, took = timed([(1e6 + k, 1.0) for k in range(4)] + [(1e8 + k, 3e8) for k in range(4)])
+    assert took < 3 * usual + 5
+    for a, b, low, high in small + large[:4]:
+        assert low == pytest.approx(0.025 ** (1 / a), rel=1e-9) and high == pytest.approx(0.975 ** (1 / a), rel=1e-9)
+    for a, b, low, high in large[4:]:
+        spread = 1.959963984540054 * math.sqrt(a * b / (a + b + 1)) / (a + b)
+        assert low == pytest.approx(a / (a + b) - spread, abs=1e-8) and high == pytest.approx(a / (a + b) + spread, abs=1e-8)
