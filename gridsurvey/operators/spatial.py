@@ -250,8 +250,10 @@ def join_covering_adaptive(
     box meets. A cell still crowded at the last level, where points all but
     coincide, is spread over as many parts as it needs. The join is an equi-join
     on leaf and part, so no key holds more than ``most`` points. ``keep`` may
-    write and reread the crowded cells, the leaves of the points and the pairs,
-    which are read more than once. Points without coordinates meet nothing.
+    write and reread the crowded cells, the leaves of the points, the polygons'
+    cells of each level and the pairs, which are read more than once; without
+    it the cells of a level are found anew for every level below, in one task's
+    memory. Points without coordinates meet nothing.
     """
     rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
     xs, ys = (F.transform(F.flatten(rings), lambda p: p[axis]) for axis in ("x", "y"))
@@ -284,7 +286,7 @@ def join_covering_adaptive(
     settled = []
     for level in range(deepest + 1):
         full = crowded.filter(F.col("level") == level).select("cx", "cy", F.ceil(F.col("n") / most).cast("bigint").alias("__parts"))
-        told = at.join(full, ["cx", "cy"], "left")
+        told = keep(f"polygon_cells_{level}", at.join(full, ["cx", "cy"], "left"))
         if level == levels:
             at = told.withColumn("parts", F.coalesce("__parts", "parts")).drop("__parts")
             break

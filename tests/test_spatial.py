@@ -119,3 +119,20 @@ def test_adaptive_cells_agree_and_stay_small(spark):
             assert max(n for k, n in sizes.items() if k[0] < 8) <= most and max(sizes.values()) <= 2 * most
     assert spatial.join_covering_adaptive(polygons, points.limit(0), "pba2_block", 1.0).count() == len(boxes)
     assert spatial.join_covering_adaptive(polygons.limit(0), points, "pba2_block", 1.0).count() == 0
+
+
+def test_adaptive_levels_are_joined_once(spark):
+    """However deep the tree, a kept level of the polygons holds one join and the pairs hold one more."""
+    from gridsurvey.operators import spatial
+
+    points = spark.createDataFrame([(i, 1.0 + i % 2 / 4096, 1.0) for i in range(60)], "checklist_id int, longitude double, latitude double")
+    polygons = spark.createDataFrame([(1, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])], "pba2_block int, ring array<struct<x: double, y: double>>")
+    joins = {}
+
+    def keep(name, df):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return df.localCheckpoint()
+
+    assert spatial.join_covering_adaptive(polygons, points, "pba2_block", 1.0, levels=10, most=5, keep=keep).count() == 60
+    levels = [n for name, n in joins.items() if name.startswith("polygon_cells")]
+    assert len(levels) == 11 and max(levels) == 1 and joins["covered_points"] == 1
