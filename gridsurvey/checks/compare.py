@@ -108,8 +108,12 @@ def with_mart(body: str) -> str:
 
 
 def mart_frame(spark, sf, *names):
-    """The mart of all seasons, or of the named ones alone: the others are then never computed."""
-    x = fx.sightings(spark, sf)
+    """The mart of all seasons, or of the named ones alone: the others are then never computed.
+
+    For named seasons the sightings are stored first. The mart of all seasons
+    takes them as they come: its plan is held next to that over buckets.
+    """
+    x = fx.sightings(spark, sf, stored=bool(names))
     comparison = compare.compare_blocks(comparison_frame(spark, sf, x))
     wanted = {name: SEASONS[name] for name in names or SEASONS}
     summary, mapped = summary_frame(spark, sf, x, wanted), mapped_blocks(spark, sf, x)
@@ -125,7 +129,7 @@ LEFT JOIN summary s ON m.pba3_block IS NOT DISTINCT FROM s.pba3_block""",
     ),
 )
 def join_geo_many(spark, sf):
-    x = fx.sightings(spark, sf)
+    x = fx.sightings(spark, sf, stored=True)
     df = joins.null_safe_join(mapped_blocks(spark, sf, x), summary_frame(spark, sf, x), ["pba3_block"], "left")
     return df.select("pba2_block", "pba3_block", "season", "checklist_count")
 
@@ -139,7 +143,7 @@ LEFT JOIN block_comparison c ON c.season = s.season AND c.pba3_block IS NOT DIST
     ),
 )
 def join_block_season(spark, sf):
-    x = fx.sightings(spark, sf)
+    x = fx.sightings(spark, sf, stored=True)
     comparison = compare.compare_blocks(comparison_frame(spark, sf, x))
     df = joins.null_safe_join(summary_frame(spark, sf, x), comparison, ["pba3_block", "season"], "left")
     return df.select("season", "pba3_block", "species_observed", "species_count_pba2", "species_count_pba3")

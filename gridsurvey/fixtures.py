@@ -17,7 +17,7 @@ from .operators.prep import with_rank
 from .operators.reshape import pivot_fixed
 from .session import scratch_path
 from .sources.readers import read_parquet
-from .sources.writers import write_bucketed
+from .sources.writers import write_bucketed, write_parquet
 
 _SCHEMAS: dict[str, StructType] = {}
 
@@ -69,8 +69,12 @@ def _count_text(supp: Column) -> Column:
     return F.when(supp % 10 == 0, "X").when(supp % 10 != 1, (supp % 50).cast("string"))
 
 
-def sightings(spark: SparkSession, sf_dir: str, species: bool = True, ranked: bool = True) -> DataFrame:
-    """Processed sightings. ``species=False`` leaves out the species name and its join."""
+def sightings(spark: SparkSession, sf_dir: str, species: bool = True, ranked: bool = True, stored: bool = False) -> DataFrame:
+    """Processed sightings. ``species=False`` leaves out the species name and its join.
+
+    ``stored=True`` writes them once and gives the written table, for jobs that
+    read them at several grains: the joins are then run once, not once a grain.
+    """
     order, line, supp, quantity = (F.col(c) for c in ("o_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
     day = F.to_date("o_orderdate")
     names = ["common_name"] if species else []
@@ -90,7 +94,12 @@ def sightings(spark: SparkSession, sf_dir: str, species: bool = True, ranked: bo
         "protocol_name",
         _count_text(supp).alias("observation_count"),
     )
-    return with_rank(df) if ranked else df
+    df = with_rank(df) if ranked else df
+    if not stored:
+        return df
+    path = scratch_path(spark, "sightings")
+    write_parquet(df, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:

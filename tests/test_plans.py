@@ -66,3 +66,10 @@ def test_metrics_combine_before_they_shuffle(spark, small):
     # printed from the top: sum, exchange, partial sum over max, exchange, partial max
     first, second = text.index("Exchange"), text.index("Exchange", text.index("partial_sum"))
     assert first < text.index("partial_sum") < second < text.index("partial_max")
+
+
+@pytest.mark.parametrize("name", ["progress_table", "completion_table", "completion_table_season_matched"])
+def test_mart_joins_the_sightings_once(spark, small, name):
+    """The grains of the mart read one written table; what is left of the line items is the old survey."""
+    scans = [line for line in plan(QUERIES[name](spark, small)).splitlines() if line.startswith("Location") and "lineitem.parquet" in line]
+    assert len(scans) <= (2 if name == "completion_table" else 1)  # it compares the surveys twice
