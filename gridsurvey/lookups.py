@@ -80,17 +80,21 @@ DAY_NIGHT = ["diurnal", "nocturnal", "unknown"]
 WEEKS = [f"{month} {quarter}" for month in MONTHS for quarter in (1, 2, 3, 4)]
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Fixed rows as a local relation, whose size the planner knows; a list handed over as an RDD counts as huge."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
 def category_table(spark: SparkSession) -> DataFrame:
     """category -> description -> rank (5 rows)."""
-    return spark.createDataFrame(
-        CATEGORIES, "breeding_category string, breeding_category_desc string, breeding_rank int"
-    )
+    return _literal_table(spark, CATEGORIES, "breeding_category, breeding_category_desc, breeding_rank")
 
 
 def season_table(spark: SparkSession) -> DataFrame:
     """season -> month, many to many (20 rows)."""
     rows = [(season, month) for season, months in SEASONS.items() for month in months]
-    return spark.createDataFrame(rows, "season string, month string")
+    return _literal_table(spark, rows, "season, month")
 
 
 def season_months(season: str) -> list[str]:

@@ -73,3 +73,10 @@ def test_mart_joins_the_sightings_once(spark, small, name):
     """The grains of the mart read one written table; what is left of the line items is the old survey."""
     scans = [line for line in plan(QUERIES[name](spark, small)).splitlines() if line.startswith("Location") and "lineitem.parquet" in line]
     assert len(scans) <= (2 if name == "completion_table" else 1)  # it compares the surveys twice
+
+
+@pytest.mark.parametrize("name", ["lookup_tables", "join_season_semi"])
+def test_fixed_tables_move_no_sightings(spark, small, name):
+    """A join with a literal table never deals the sightings out by its few keys."""
+    text = plan(QUERIES[name](spark, small), "simple")
+    assert "SortMergeJoin" not in text and "ExistingRDD" not in text
