@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from .joins import only_in_left
 
@@ -34,6 +38,12 @@ def coverage_report(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return one("all of a in b", a, b).unionByName(one("all of b in a", b, a))
 
 
+def _digest_words(value: Column) -> list[Column]:
+    """The SHA-256 of a text as four integers; a missing text has none."""
+    digest = F.sha2(value.cast("binary"), 256)
+    return [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("bigint") for i in range(4)]
+
+
 def key_reports(
     df: DataFrame,
     unique: dict[str, list[str]] | None = None,
@@ -50,14 +60,19 @@ def key_reports(
 
     All keys are grouping sets of one aggregation, so there is one exchange
     however many checks there are. A value has several partners if the least and
-    the largest differ or only some are missing: no set of them is kept.
+    the largest differ or only some are missing: no set of them is kept. Texts
+    are told apart by the four words of their SHA-256, which have a place in a
+    hash aggregate; the texts themselves would have all rows sorted.
     """
     unique, pairs, covered = unique or {}, one_to_one or [], covered or {}
     sets = [*unique.values(), *[[c] for pair in pairs for c in pair], *[keys for _, keys in covered.values()]]
     cols = list(dict.fromkeys(c for keys in sets for c in keys))
     if not sets:
         raise ValueError("no checks are asked for")
-    rows = df.select(*cols, F.lit(0).alias("__side"))
+    words = {c: [f"__{at}w{i}" for i in range(4)] for at, c in enumerate(dict.fromkeys(c for pair in pairs for c in pair))
+             if df.schema[c].dataType in (StringType(), BinaryType())}
+    rows = df.select(*cols, F.lit(0).alias("__side"), *[
+        word.alias(name) for c, names in words.items() for name, word in zip(names, _digest_words(F.col(c)), strict=True)])
     for i, (other, keys) in enumerate(covered.values(), 1):
         rows = rows.unionByName(other.select(*keys, F.lit(i).alias("__side")), allowMissingColumns=True)
 
@@ -69,9 +84,10 @@ def key_reports(
     partners = {}
     for i, (a, b) in enumerate(pairs):
         for name, c in ((f"__{i}a", b), (f"__{i}b", a)):
-            value = F.when(here, F.col(c))
-            known = F.count(value)
-            partners[name] = (F.min(value) < F.max(value)) | ((known > 0) & (known < F.count_if(here)))
+            values = [F.when(here, F.col(v)) for v in words.get(c, [c])]
+            known = F.count(values[0])
+            differ = reduce(or_, [F.min(v) < F.max(v) for v in values])
+            partners[name] = differ | ((known > 0) & (known < F.count_if(here)))
     distinct_sets = list(dict.fromkeys(tuple(keys) for keys in sets))
     grouped = rows.groupingSets([[F.col(c) for c in keys] for keys in distinct_sets], *[F.col(c) for c in cols]).agg(
         F.grouping_id().alias("__set"),

@@ -46,3 +46,14 @@ def test_one_scan_and_one_exchange_by_key(spark, small):
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
     report.collect()
+
+
+def test_partners_of_texts_need_no_sort(spark):
+    """Texts as partners leave the grouping sets to a hash aggregate, and texts, bytes and missing ones stay told apart."""
+    rows = [(1, "a", b"x"), (1, "a", b"y"), (2, "b", None), (2, "b", b"z"), (3, "c", b"q"), (3, "d", b"q"), (4, None, b"r"), (4, None, b"r")]
+    df = spark.createDataFrame(rows, "id int, l string, r binary")
+    report = quality.key_reports(df, {"id": ["id"]}, [("id", "l"), ("id", "r")])
+    assert "SortAggregate" not in report._jdf.queryExecution().executedPlan().toString()
+    want = parts(quality.one_to_one_report(df, "id", "l")) | parts(quality.one_to_one_report(df, "id", "r"))
+    got = parts(report)
+    assert {name: got[name] for name in want} == want and got["id -> l"] == (1, False) and got["id -> r"] == (2, False)
