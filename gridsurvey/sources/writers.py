@@ -12,8 +12,16 @@ from . import shapefile
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Parquet, in folders of ``partition_by`` if given.
+
+    Rows are then dealt out by folder first, in parts that adaptive execution
+    cuts to a fixed size: a task sorts one such part by folder, not its share of
+    the table on top of the sorts of the joins before.
+    """
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, as_text: bool = False) -> None:

@@ -138,3 +138,14 @@ def test_refresh_writes_every_table(spark, small, tmp_path):
         sightings.select("checklist_id", "common_name", "observation_month"))
     (tmp_path / "versions" / "99999999999999999999-unfinished").mkdir()
     assert {path.rsplit("/", 1)[0] for path in paths.values()} == {published(spark, str(tmp_path))}
+
+
+def test_folders_are_written_by_the_task_that_holds_them(spark, tmp_path):
+    """Rows are dealt out by folder before the write, so that no task has all folders to sort; none is lost."""
+    path = str(tmp_path / "folders")
+    df = spark.range(1000, numPartitions=4).selectExpr("id", "IF(id % 4 = 3, NULL, id % 4) AS month")
+    writers.write_parquet(df, path, ["month"])
+    files = [sorted(f.name for f in folder.iterdir() if f.name.endswith(".parquet")) for folder in (tmp_path / "folders").glob("month=*")]
+    assert [len(names) for names in files] == [1] * 4
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "month").collect()), key=lambda r: r[0]) == [
+        (i, None if i % 4 == 3 else i % 4) for i in range(1000)]
