@@ -75,6 +75,13 @@ def test_mart_joins_the_sightings_once(spark, small, name):
     assert len(scans) <= (2 if name == "completion_table" else 1)  # it compares the surveys twice
 
 
+@pytest.mark.parametrize("name", ["prep_taxon_rollup", "prep_taxon_rollup_max"])
+def test_rolled_up_taxa_are_sorted_after_their_shuffle_only(spark, small, name):
+    """The stage that joins the sightings does not sort them by species as well."""
+    above, below = plan(QUERIES[name](spark, small), "simple").split("Exchange hashpartitioning(checklist_id", 1)
+    assert "Aggregate" in above and "Aggregate" not in below
+
+
 @pytest.mark.parametrize("name", ["lookup_tables", "join_season_semi"])
 def test_fixed_tables_move_no_sightings(spark, small, name):
     """A join with a literal table never deals the sightings out by its few keys."""
