@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +106,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
+def _facts(docs: DataFrame, key: Column) -> DataFrame:
+    """(doc_id, key, length, source, same): words of each text, and a hash of it that the case of A to Z does not change."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
+            # Bytes are split and lowered by their ASCII letters and blanks only, as ``\S`` and ``translate`` do.
+            length = [None if t is None else len(t.split()) for t in texts]
+            same = [None if t is None else int.from_bytes(blake2b(t.lower(), digest_size=8).digest(), "little", signed=True) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(length, pa.int64()), batch.column("source"), pa.array(same, pa.int64())],
+                ["doc_id", "key", "length", "source", "same"])
+
+    rows = docs.select("doc_id", key.alias("key"), F.col("source").cast("string").alias("source"), "text")
+    return rows.mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, key string, length bigint, source string, same bigint")
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pack`` for a table of documents without near copies: lengths in words, equal texts as clusters."""
     return pack(docs, word_count(F.col("text")), F.col("source"), F.xxhash64("text"), capacity=capacity)
@@ -115,12 +134,9 @@ def pack_near_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     with those equal to it but for the case of A to Z. A null id and an id that
     several texts carry are told apart by the text.
     """
-    text = F.col("text")
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text")))
     near = ngram_join.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
     classes = near.filter("n_links > 0").select(F.col("doc_id").alias("key"), F.xxhash64("class_id").alias("class")).distinct()
-    same = F.xxhash64(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    facts = docs.select("doc_id", key.alias("key"), word_count(text).alias("length"), "source", same.alias("same"))
-    clustered = staged(facts.join(classes, "key", "left").select(
+    clustered = staged(_facts(docs, key).join(classes, "key", "left").select(
         "doc_id", "length", "source", F.coalesce("class", "same").alias("cluster")), "clusters")
     return pack(clustered, F.col("length"), F.col("source"), F.col("cluster"), capacity=capacity)

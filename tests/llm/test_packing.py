@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from gridsurvey.llm import ngram_join, packing, queries
 
 
@@ -106,3 +108,14 @@ def test_whole_table(spark, small):
     check({d.doc_id: len(d.text.split()) for d in docs}, rows, packing.CAPACITY, [{d.doc_id: d.source for d in docs}, {d.doc_id: d.text for d in docs}])
     bins = {r.bin_id for r in rows}
     assert sum(r.length for r in rows) > 0.5 * packing.CAPACITY * len(bins)
+
+
+def test_words_and_case_are_told_by_ascii_alone(spark):
+    """One pass over the texts gives what the built-in functions would: blanks and case of ASCII only, missing texts missing."""
+    texts = ["a b\tc\n d\x0be\x0cf\rg", " x y z\x1cw", "", " \n ", None, "ÄB ß", "äb ß", "Äb ß", "word"]
+    docs = spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    facts = {r.doc_id: r for r in packing._facts(docs, F.col("doc_id").cast("string")).collect()}
+    words = {r.doc_id: r.n for r in docs.select("doc_id", packing.word_count(F.col("text")).alias("n")).collect()}
+    assert {i: r.length for i, r in facts.items()} == words and facts[4].same is None
+    assert facts[5].same == facts[7].same != facts[6].same
+    assert packing.pack_near_documents(docs).count() == len(texts)
