@@ -19,10 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,8 @@ RECALL = 0.9995
 MOST_HASHES = 256
 #: A block holds about so many sets, and fewer if they are large.
 BLOCK_SETS, BLOCK_GRAMS = 64, 200_000
+#: N-grams that are signed in one step, in an array that is kept.
+_SIGNED_AT_ONCE = 512
 _SEED = 11
 
 
@@ -62,25 +63,44 @@ class Signer:
         self.a = (random.integers(1, 1 << 31, bands * rows, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.b = random.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
         self.steps = random.integers(1, 1 << 62, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salts = mixed(np.arange(1, bands + 1, dtype=np.uint64))
+        self.room = np.empty((_SIGNED_AT_ONCE, bands * rows), np.uint32)
 
     def signature(self, grams: np.ndarray) -> np.ndarray:
         least = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         short = (grams >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(short), 2048):
-            part = np.multiply.outer(self.a, short[at : at + 2048])
-            part += self.b[:, None]
-            np.minimum(least, part.min(axis=1), out=least)
+        for at in range(0, len(short), _SIGNED_AT_ONCE):
+            some = short[at : at + _SIGNED_AT_ONCE, None]
+            part = np.multiply(self.a, some, out=self.room[: len(some)])
+            part += self.b
+            np.minimum(least, part.min(axis=0), out=least)
         return least
 
-    def band_hashes(self, grams: np.ndarray) -> np.ndarray:
-        signature = self.signature(grams).astype(np.uint64).reshape(self.bands, self.rows)
-        order = np.arange(self.bands, dtype=np.uint64)
-        return mixed((signature * self.steps).sum(axis=1) + mixed(order + np.uint64(1))).view(np.int64)
+    def band_hashes(self, sets: list[np.ndarray]) -> np.ndarray:
+        """One row of band hashes for each set."""
+        signed = np.array([self.signature(s) for s in sets], np.uint64).reshape(len(sets), self.bands, self.rows)
+        signed *= self.steps
+        return mixed(signed.sum(axis=2) + self.salts).view(np.int64)
 
 
-def gram_set(text: str | None, words: Words, n: int = WORDS_PER_GRAM) -> np.ndarray:
-    """Sorted hashes of the different n-grams; a text with fewer words is one n-gram, one without words has none."""
-    return np.unique(runs(words.hashes(text), n))
+def _different(grams: np.ndarray) -> np.ndarray:
+    """The different values in ascending order."""
+    grams = np.sort(grams)
+    again = grams[1:] == grams[:-1]
+    return np.concatenate([grams[:1], grams[1:][~again]]) if again.any() else grams
+
+
+def gram_sets(texts: Iterable[str | None], words: Words, n: int = WORDS_PER_GRAM) -> list[np.ndarray]:
+    """Of each text, sorted hashes of the different n-grams; a text with fewer words is one n-gram, one without words has none."""
+    sets = []
+    for hashes, ends in words.hashes_of(texts):
+        over_all = runs(hashes, n)  # those that reach from one text into the next are passed over
+        first = 0
+        for last in ends.tolist():
+            whole = last - first >= n
+            sets.append(_different(over_all[first : last - n + 1] if whole else runs(hashes[first:last], n)))
+            first = last
+    return sets
 
 
 def set_key(grams: np.ndarray) -> bytes:
@@ -91,18 +111,20 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS_PER_GRAM)
     """(doc_id, node, n_grams, bands): ``node`` names the text's set; null where the text has no word or the id is null."""
     table = docs.sparkSession.sparkContext.broadcast(word_table())
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer = Words(table.value), Signer(bands, rows)
         for batch in batches:
-            sets = [gram_set(t, words, n) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "node": [set_key(s) if len(s) else None for s in sets],
-                "n_grams": [len(s) for s in sets],
-                "bands": [signer.band_hashes(s) if len(s) else None for s in sets],
-            })
-
-    found = docs.mapInPandas(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_grams bigint, bands array<bigint>")
+            sets = gram_sets((t.as_py() for t in batch.column("text")), words, n)
+            none = np.array([not len(s) for s in sets], bool)
+            hashes = signer.band_hashes([s for s in sets if len(s)])
+            ends = np.concatenate([[0], np.cumsum(~none) * bands]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)), pa.array(hashes.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), held],
+                ["doc_id", "node", "n_grams", "bands"])
+
+    found = docs.mapInArrow(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_grams bigint, bands array<bigint>")
     return found.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
 
 
@@ -255,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = Words(table.value)
         for batch in batches:
             node, weight, units, texts = batch.columns
-            grams = [gram_set(t.as_py(), words, n) for t in texts]
+            grams = gram_sets((t.as_py() for t in texts), words, n)
             same = pa.array([set_key(g) == k for g, k in zip(grams, node.to_pylist(), strict=True)], pa.bool_())
             held = pa.array([g.tobytes() for g in grams], pa.binary())
             yield pa.RecordBatch.from_arrays([node, weight, units, held], ["node", "weight", "units", "grams"]).filter(same)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
+#: Texts are hashed together up to about so many characters; a longer one is hashed by itself.
+CHUNK_CHARS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
@@ -17,10 +21,11 @@ def word_table() -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of MurmurHash3)."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 class Words:
@@ -43,12 +48,12 @@ class Words:
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
         if len(codes) >= len(self.up):
             self.grow(2 * len(codes))
-        inside = np.zeros(len(codes) + 2, np.int8)
-        inside[1:-1] = self.table[codes]
-        edge = np.diff(inside)
+        inside = np.zeros(len(codes) + 2, bool)
+        inside[1:-1] = np.take(self.table, codes)
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
         sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes.astype(np.uint64) * self.up[: len(codes)], out=sums[1:])
-        return sums, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        np.cumsum(codes * self.up[: len(codes)], out=sums[1:])
+        return sums, edges[::2], edges[1::2]
 
     def between(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hash of each stretch of characters; equal stretches have equal hashes wherever they are."""
@@ -57,6 +62,24 @@ class Words:
     def hashes(self, text: str | None) -> np.ndarray:
         return self.between(*self.spans(text))
 
+    def hashes_of(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``hashes`` of many texts, some at a time: those of some texts in a row, and where each text's end."""
+        held, size = [], 0
+        for text in texts:
+            lowered = (text or "").lower()
+            if held and size + len(lowered) > CHUNK_CHARS:
+                yield self._together(held)
+                held, size = [], 0
+            held.append(lowered)
+            size += len(lowered) + 1
+        if held:
+            yield self._together(held)
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # A line feed, no part of a word, parts the texts.
+        sums, starts, ends = self.spans("\n".join(texts))
+        return self.between(sums, starts, ends), np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each run of ``n`` neighbours; fewer than ``n`` make one run, none make none."""

@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gridsurvey.llm import ngram_join, queries
 from gridsurvey.llm.components import connected_components
+from gridsurvey.llm.words import CHUNK_CHARS, Words, runs, word_table
 
 
 def grams(text, n=5):
@@ -119,3 +121,24 @@ def test_long_near_copies_are_few_blocks(spark, monkeypatch):
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs, block_grams=100).collect())
     assert got == [(1, 1, 1), (2, 1, 1)]
     assert {r.n_blocks for r in seen[0].select("n_blocks").collect()} <= {1, 2}
+
+
+def test_short_texts_are_hashed_and_signed_together(monkeypatch):
+    """Many texts in one pass over arrays have the sets and bands that each has by itself."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(12))) for _ in range(500)]
+    texts += [None, "", "...", "a", "ΟΔΟΣ", "ΣΑΣ'Σ", "Σ", "İ x", "a\nb", "\n", "ab " * CHUNK_CHARS, "the end"]
+    words, signer, passes = Words(word_table()), ngram_join.Signer(*ngram_join.choose_bands()), []
+    alone = [np.unique(runs(words.hashes(t), 5)) for t in texts]
+    spans = words.spans
+    monkeypatch.setattr(words, "spans", lambda text: passes.append(text) or spans(text))
+    sets = ngram_join.gram_sets(texts, words)
+    assert len(passes) <= 4
+    assert len(sets) == len(texts) and all(np.array_equal(a, b) for a, b in zip(sets, alone))
+    filled = [s for s in sets if len(s)]
+    bands = signer.band_hashes(filled)
+    order = np.arange(1, signer.bands + 1, dtype=np.uint64)
+    for grams, row in list(zip(filled, bands))[-40:]:
+        short = (grams >> np.uint64(32)).astype(np.uint32)
+        least = np.array([(a * short + b).min() for a, b in zip(signer.a, signer.b)], np.uint64).reshape(signer.bands, signer.rows)
+        assert np.array_equal(row, ngram_join.mixed((least * signer.steps).sum(axis=1) + ngram_join.mixed(order)).view(np.int64))
