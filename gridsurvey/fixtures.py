@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions.categories import description_of_rank
+from .functions.times import month_label
 from .lookups import WEEKS
 from .operators.prep import with_rank
 from .operators.reshape import pivot_fixed
@@ -85,7 +86,7 @@ def sightings(spark: SparkSession, sf_dir: str, species: bool = True, ranked: bo
         _text("obs", (supp % 7).cast("string"), ",obs", (line % 5).cast("string")).alias("observer_id"),
         F.when(line % 5 != 0, _text("C", (line % 5).cast("string"))).otherwise("C1").alias("breeding_category"),
         day.alias("observation_date"),
-        F.date_format(day, "MMM").alias("observation_month"),
+        month_label(day).alias("observation_month"),
         F.when(quantity >= 3, _start(order, line)).alias("observation_datetime"),
         F.when(quantity <= 45, quantity * 6).alias("duration_minutes"),
         (F.col("l_discount") * 100).alias("effort_distance_km"),

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lookups import SURVEY_TZ
+from ..lookups import MONTHS, SURVEY_TZ
 
 
 def month_label(c: Column) -> Column:
-    """``Jan`` .. ``Dec``."""
-    return F.date_format(c, "MMM")
+    """``Jan`` .. ``Dec``, looked up: formatting a date costs many times as much."""
+    return F.get(F.array(*[F.lit(m) for m in MONTHS]), F.month(c) - 1)
 
 
 def local_to_utc(c: Column, tz: str = SURVEY_TZ) -> Column:

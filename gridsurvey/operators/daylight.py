@@ -72,6 +72,15 @@ def _event(side: int) -> str:
     return f"(720D - __lon4 - {side}D * __hour - __eq)"
 
 
+def _wall_clock(micros: str, tz: str) -> str:
+    """UTC microseconds since 1970 to the wall clock of a zone, whatever the session zone.
+
+    The generated code of ``from_utc_timestamp`` holds the zone; ``convert_timezone`` looks it up by name for every row.
+    """
+    local = f"unix_micros(from_utc_timestamp(timestamp_micros({micros}), '{tz}'))"
+    return f"timestampadd(MICROSECOND, {local}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+
+
 def with_daylight(df: DataFrame, tz: str = SURVEY_TZ, start: str = "observation_datetime") -> DataFrame:
     """Add ``sunrise`` and ``sunset`` of the start's local date, as wall-clock timestamps.
 
@@ -97,13 +106,12 @@ def with_daylight(df: DataFrame, tz: str = SURVEY_TZ, start: str = "observation_
     fractions = f"transform(array({_event(1)}, {_event(-1)}), m -> m * {1 / 1440!r}D) AS __at"
     df = _with_sun(df, "0D").selectExpr("*", fractions).drop("__hour", "__eq")
     known = f"{start} IS NOT NULL AND longitude IS NOT NULL AND latitude IS NOT NULL"
-    midnight = f"CAST(CAST({start} AS DATE) AS TIMESTAMP_NTZ)"
+    midnight = f"unix_date(CAST({start} AS DATE)) * 86400000000L"
     for place, name, side in ((0, "sunrise", 1), (1, "sunset", -1)):
-        micros = f"CASE WHEN {known} AND NOT isnan(__hour) THEN floor({_event(side)} * 60e6D + 0.5D) END"
-        local = f"u -> convert_timezone('UTC', '{tz}', timestampadd(MICROSECOND, u, {midnight}))"
+        minute = f"CASE WHEN {known} AND NOT isnan(__hour) THEN floor({_event(side)} * 60e6D + 0.5D) END"
         df = _with_sun(df, f"coalesce(__at[{place}], 0D)")
-        df = df.selectExpr("*", f"transform(array({micros}), {local}) AS __{name}").drop("__hour", "__eq")
-    return df.selectExpr(*kept, "__sunrise[0] AS sunrise", "__sunset[0] AS sunset")
+        df = df.selectExpr("*", f"transform(array({minute}), u -> u + {midnight}) AS __{name}").drop("__hour", "__eq")
+    return df.selectExpr(*kept, *[f"{_wall_clock(f'__{name}[0]', tz)} AS {name}" for name in ("sunrise", "sunset")])
 
 
 def daylight_table(df: DataFrame, tz: str = SURVEY_TZ) -> DataFrame:

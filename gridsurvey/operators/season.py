@@ -5,7 +5,8 @@ reduced map-side before its shuffle:
 
 * checklist grain (block, checklist, lon, lat): effort, day/night, months
   covered, checklist count, with one set of conditional maxima per season;
-* species grain (block, species, month): observed, coded and nocturnal species;
+* species grain (block, species): observed, coded and nocturnal species, with
+  one set of conditional aggregates per season as well;
 * observer grain (block, observer, month): observers.
 
 A month belongs to several seasons, so rows are fanned out to seasons only
@@ -16,7 +17,7 @@ result is exact even for a checklist whose copies disagree on the month.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.categories import seasons_of
@@ -51,7 +52,10 @@ def _checklist_branch(x: DataFrame, fixed: DataFrame, daylight: DataFrame | None
     by_place = x.groupBy(BLOCK, "checklist_id", "longitude", "latitude").agg(
         F.min(start).alias("observation_datetime"), *per_season
     )
-    started = with_fixed_start(by_place, fixed)
+    # One date per checklist, so a block's date holds its checklists whole. Rows are dealt out by both before the
+    # fan-out: no stage holds the sorts of the joins and the checklists of every season at once.
+    date = F.max(F.to_date("observation_datetime")).over(Window.partitionBy("checklist_id"))
+    started = with_fixed_start(by_place, fixed).withColumn("observation_date", date)
     lit = with_daylight(started, tz) if daylight is None else join_daylight(started, daylight)
     seen = [
         F.when(
@@ -65,21 +69,19 @@ def _checklist_branch(x: DataFrame, fixed: DataFrame, daylight: DataFrame | None
         )
         for i, season in enumerate(seasons)
     ]
-    fanned = (
+    dealt = (
         with_day_night_label(lit)
-        .select(
-            BLOCK,
-            "checklist_id",
-            "checklist_type",
-            F.to_date("observation_datetime").alias("observation_date"),
-            F.explode(F.array_compact(F.array(*seen))).alias("s"),
-        )
-        .select(BLOCK, "checklist_id", "checklist_type", "observation_date", "s.*")
+        .drop("longitude", "latitude", "observation_datetime", "sunrise", "sunset")
+        .repartition(BLOCK, "observation_date")
     )
-    # the start, hence the date, is one per checklist; the label depends on the place
+    fanned = (
+        dealt.select(BLOCK, "observation_date", "checklist_id", "checklist_type", F.explode(F.array(*seen)).alias("s"))
+        .filter("s IS NOT NULL")
+        .select(BLOCK, "observation_date", "checklist_id", "checklist_type", "s.*")
+    )
+    # the label depends on the place
     minutes = F.coalesce("minutes", F.lit(0.0))
-    by_checklist = fanned.groupBy(*KEYS, "checklist_id").agg(
-        F.max("observation_date").alias("observation_date"),
+    by_checklist = fanned.groupBy(*KEYS, "observation_date", "checklist_id").agg(
         F.max("minutes").alias("total_minutes"),
         F.max("km").alias("km"),
         F.bit_or("months").alias("months"),
@@ -104,14 +106,28 @@ def _checklist_branch(x: DataFrame, fixed: DataFrame, daylight: DataFrame | None
 
 
 def _species_branch(x: DataFrame, nocturnal: DataFrame, seasons) -> DataFrame:
-    rank = F.col("breeding_rank")
-    by_month = x.groupBy(BLOCK, "common_name", "observation_month").agg(
-        F.max(rank).alias("best"), F.count_if(rank.isNull()).alias("unknown")
-    )
+    rank, month = F.col("breeding_rank"), F.col("observation_month")
+    per_season = []
+    for i, months in enumerate(seasons.values()):
+        inside = month.isin(*months)
+        per_season += [
+            F.bool_or(inside).alias(f"seen_{i}"),
+            F.max(F.when(inside, rank)).alias(f"best_{i}"),
+            F.count_if(inside & rank.isNull()).alias(f"unknown_{i}"),
+        ]
+    seen = [
+        F.when(
+            F.col(f"seen_{i}"),
+            F.struct(F.lit(season).alias("season"), F.col(f"best_{i}").alias("best"), F.col(f"unknown_{i}").alias("unknown")),
+        )
+        for i, season in enumerate(seasons)
+    ]
     by_species = (
-        _fan_out(by_month, seasons)
-        .groupBy(*KEYS, "common_name")
-        .agg(F.max("best").alias("best"), F.sum("unknown").alias("unknown"))
+        x.groupBy(BLOCK, "common_name")
+        .agg(*per_season)
+        .select(BLOCK, "common_name", F.explode(F.array(*seen)).alias("s"))
+        .filter("s IS NOT NULL")
+        .select(BLOCK, "common_name", "s.*")
     )
     listed = nocturnal.select("common_name", F.lit(True).alias("listed")).distinct()
     flagged = by_species.join(listed, "common_name", "left").withColumn(

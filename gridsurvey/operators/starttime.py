@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import null_safe_join
@@ -43,22 +43,27 @@ def fixed_start_times(df: DataFrame) -> DataFrame:
     Each distinct (block, checklist, observer list, start) row votes once per
     observer in its list, so the list length is the weight and nothing needs
     to be exploded.
+
+    Rows are dealt out by checklist once, and those of checklists with one start
+    are left out before any vote is counted. A checklist has a row per species
+    and copy, so the windows stay small; those of the votes share one sort.
     """
+    start, rows = F.col("observation_datetime"), df.select("pba3_block", "checklist_id", "observer_id", "observation_datetime")
+    checklist = Window.partitionBy("checklist_id")
+    known, n = F.count(start).over(checklist), F.count("*").over(checklist)
+    several = (F.min(start).over(checklist) != F.max(start).over(checklist)) | ((known > 0) & (known < n))
+    disputed = rows.repartition("checklist_id").withColumn("several", several).filter("several").drop("several")
+
+    same_start = Window.partitionBy("checklist_id", "observation_datetime")
+    same_vote = Window.partitionBy("checklist_id", "observation_datetime", "pba3_block", "observer_id").orderBy("observer_id")
     voters = F.coalesce(F.array_size(F.split("observer_id", ",")), F.lit(1))
     votes = (
-        df.select("pba3_block", "checklist_id", "observer_id", "observation_datetime")
-        .distinct()
-        .groupBy("checklist_id", "observation_datetime")
-        .agg(F.sum(voters).alias("n"))
+        disputed.withColumn("place", F.row_number().over(same_vote))
+        .withColumn("n", F.sum(F.when(F.col("place") == 1, voters)).over(same_start))
+        .filter("place = 1")
     )
-    start = F.col("observation_datetime")
     order = F.when(start.isNotNull(), F.struct((-F.col("n")).alias("n"), start.alias("v")))
-    return (
-        votes.groupBy("checklist_id")
-        .agg(F.count("*").alias("starts"), F.min_by("observation_datetime", order).alias("observation_datetime_fixed"))
-        .filter("starts > 1")
-        .drop("starts")
-    )
+    return votes.groupBy("checklist_id").agg(F.min_by("observation_datetime", order).alias("observation_datetime_fixed"))
 
 
 def with_fixed_start(df: DataFrame, fixed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from gridsurvey import fixtures as fx
-from gridsurvey.operators import completion, joins, metrics, season
+from gridsurvey.operators import completion, joins, metrics, season, starttime
 from gridsurvey.session import scratch_path
 
 QUERIES = entry.queries()
@@ -87,3 +87,16 @@ def test_fixed_tables_move_no_sightings(spark, small, name):
     """A join with a literal table never deals the sightings out by its few keys."""
     text = plan(QUERIES[name](spark, small), "simple")
     assert "SortMergeJoin" not in text and "ExistingRDD" not in text
+
+
+def test_starts_are_settled_in_one_exchange(spark, small):
+    """Rows are dealt out by checklist once; disputes are told, votes counted and picked where they then are."""
+    text = plan(starttime.fixed_start_times(fx.sightings(spark, small, species=False)), "simple")
+    assert len([line for line in text.splitlines() if "Exchange" in line and "checklist_id" in line]) == 1
+
+
+def test_fan_out_to_seasons_has_its_own_stage(spark, small):
+    """What is fanned out is dealt out by block and date first, apart from the sorts of the joins."""
+    above, below = plan(QUERIES["summarize_all_seasons"](spark, small), "simple").split("REPARTITION_BY_COL", 1)
+    assert "observation_date" in above.splitlines()[-1] and "Generate explode" in above
+    assert "Generate" not in below.split("Exchange", 1)[0] and "keys=[season" not in below.split("SortMergeJoin", 1)[0]

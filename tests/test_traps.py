@@ -412,3 +412,16 @@ def test_global_index_equals_one_sort(spark):
     got = sampling.with_global_index(df, ["a", "b"], ["id"], "n").collect()
     ordered = sorted(got, key=lambda r: (r.a, r.b is None, r.b or 0, r.id))
     assert [r.n for r in ordered] == list(range(1, 301))
+
+
+def test_only_disputed_starts_are_settled(frame):
+    """One start, or none, leaves nothing to settle; a missing start beside a known one does. Equal votes count once."""
+    early, late = T(2024, 6, 1, 9, 0), T(2024, 6, 1, 9, 1)
+    df = frame(
+        sighting(checklist_id="one"), sighting(checklist_id="one", common_name="wren"),
+        sighting(checklist_id="none", observation_datetime=None),
+        sighting(checklist_id="gap", observation_datetime=None), sighting(checklist_id="gap", observation_datetime=late),
+        *[sighting(checklist_id="votes", observer_id="a", observation_datetime=early, common_name=n) for n in "xyz"],
+        sighting(checklist_id="votes", observer_id="a,b", observation_datetime=late),
+    )
+    assert rows(starttime.fixed_start_times(df)) == [("gap", late), ("votes", late)]
