@@ -137,8 +137,8 @@ def _observer_lists(x: DataFrame) -> DataFrame:
     return lists.select(*CELL, F.explode_outer(F.split("observer_id", ",")).alias("observer"))
 
 
-def _observers(x: DataFrame, ids: DataFrame) -> DataFrame:
-    return _in_buckets(null_safe_join(_observer_lists(x).distinct(), ids, ["observer"], "inner")).agg(_set_of(F.lit(True)).alias("seen"))
+def _observers(seen: DataFrame, ids: DataFrame) -> DataFrame:
+    return _in_buckets(null_safe_join(seen, ids, ["observer"], "inner")).agg(_set_of(F.lit(True)).alias("seen"))
 
 
 def build_cube(x: DataFrame, fixed: DataFrame | None = None, daylight: DataFrame | None = None, tz: str = SURVEY_TZ,
@@ -152,12 +152,14 @@ def build_cube(x: DataFrame, fixed: DataFrame | None = None, daylight: DataFrame
     """
     x = _with_month(x)
     species_ids = keep("species_ids", dense_ids(x.select("common_name"), species_ids))
-    observer_ids = keep("observer_ids", dense_ids(_observer_lists(x).select("observer"), observer_ids))
+    # Ids and sets come from the observers of each cell, so the sightings are read for them once.
+    observers = keep("cell_observers", _observer_lists(x).distinct())
+    observer_ids = keep("observer_ids", dense_ids(observers.select("observer"), observer_ids))
     labelled = keep("labelled", _labelled(x, fixed_start_times(x) if fixed is None else fixed, daylight, tz))
     effort = keep("effort", _by_date(labelled.filter("not several"), CELL))
     several = keep("several", labelled.filter("several").drop("several"))
     return MonthCube(effort, several, keep("species", _species(x, species_ids)),
-                     keep("observers", _observers(x, observer_ids)), species_ids, observer_ids)
+                     keep("observers", _observers(observers, observer_ids)), species_ids, observer_ids)
 
 
 def changed_months(x: DataFrame, months: list, cube: MonthCube | None = None) -> list:

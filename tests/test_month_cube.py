@@ -116,3 +116,22 @@ def test_buckets_save_the_exchanges_of_checklists(spark, small):
     again = open_bucketed(spark, path, "checklist_id", 4)
     assert sorted(map(str, again.collect())) == sorted(map(str, x.collect()))
     assert plan(month_cube.build_cube(again).effort).count("Arguments: hashpartitioning") == 1
+
+
+def test_observers_are_read_once(spark):
+    """Observer ids and sets come from the kept observers of the cells, not from the sightings again."""
+    path = scratch_path(spark, "made_up")
+    spark.createDataFrame(made_up(5, 60), SCHEMA).write.parquet(path)
+    reading = []
+
+    def keep(name, df):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        if path.rsplit("/", 1)[1] in out.getvalue():
+            reading.append(name)
+        df.write.parquet(kept := scratch_path(spark, name))
+        return spark.read.schema(df.schema).parquet(kept)
+
+    month_cube.build_cube(spark.read.parquet(path), keep=keep)
+    assert [name for name in reading if "observer" in name] == ["cell_observers"]
